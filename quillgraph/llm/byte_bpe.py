@@ -102,7 +102,7 @@ def _blocks(frames: Iterator[pd.DataFrame], block_chars: int) -> Iterator[tuple[
         for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
             found = words_of(text) if text else []
             codes.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.uint32, count=len(found)))
-            ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
+            ids.append(doc_id)
             chars += len(text or "")
             if chars >= block_chars:
                 yield close()
@@ -120,7 +120,7 @@ def _dealt(words: list[str]) -> tuple[list[bytes], np.ndarray, int]:
 
 
 def _schema(fields: str) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "binary": T.BinaryType()}
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "binary": T.BinaryType(), "string": T.StringType()}
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in map(str.split, fields.split(", "))])
 
 
@@ -191,7 +191,8 @@ def _encode_bucket(frame: pd.DataFrame, path: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_ANSWERS.names)
 
 
-_CODES = _schema("block long, check long, doc_id long, place int, n long, codes binary")
+#: Ids travel through pandas as text: a column of numbers with nulls would become floating-point there.
+_CODES = _schema("block long, check long, doc_id string, place int, n long, codes binary")
 
 
 def _code_rows(frames: Iterator[pd.DataFrame], block_chars: int) -> Iterator[pd.DataFrame]:
@@ -200,10 +201,10 @@ def _code_rows(frames: Iterator[pd.DataFrame], block_chars: int) -> Iterator[pd.
         _, buckets, check = _dealt(words)
         rows = [(block, check, None, -1, len(words), _pack(buckets.tobytes()))]
         rows += [(block, check, doc_id, k, len(c), _numbers(c)) for k, (doc_id, c) in enumerate(zip(ids, codes, strict=True))]
-        yield pd.DataFrame(rows, columns=_CODES.names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=_CODES.names)
 
 
-_ENCODED = _schema("doc_id long, ids binary, decoded binary")
+_ENCODED = _schema("doc_id string, ids binary, decoded binary")
 
 
 def _reassemble(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -230,7 +231,7 @@ def _reassemble(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own = _read_numbers(raw, int(count)).tolist()
         out_ids.append(b"".join(map(ids.__getitem__, own)))
         out_texts.append(b"".join(map(texts.__getitem__, own)))
-    return pd.DataFrame({"doc_id": rest["doc_id"].astype("Int64"), "ids": out_ids, "decoded": out_texts})
+    return pd.DataFrame({"doc_id": rest["doc_id"], "ids": out_ids, "decoded": out_texts})
 
 
 def encode(docs: DataFrame, ranks_path: str, block_chars: int = BLOCK_CHARS, salt_blocks: int = 1024) -> DataFrame:
@@ -241,13 +242,13 @@ def encode(docs: DataFrame, ranks_path: str, block_chars: int = BLOCK_CHARS, sal
     repeated rows are encoded each; an empty table gives no rows; other columns are ignored. A text longer than a block
     is a block of its own.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
     # the same block always meets the same salt_blocks blocks; within them a word is encoded once
     salt = (F.shiftright("block", 32) / salt_blocks).cast("long")
     words = rows.mapInPandas(partial(_word_rows, block_chars=block_chars), _WORDS).withColumn("salt", salt)
-    answers = words.groupBy("bucket", "salt").applyInPandas(partial(_encode_bucket, path=ranks_path), _ANSWERS)
+    answers = words.groupBy("bucket", "salt").applyInPandas(lambda frame: _encode_bucket(frame, ranks_path), _ANSWERS)
     codes = rows.mapInPandas(partial(_code_rows, block_chars=block_chars), _CODES)
-    return codes.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_reassemble, _ENCODED)
+    return codes.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_reassemble, _ENCODED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
