@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import byte_bpe, pii, quality
+from quillgraph.llm.embedding_dedup import near_duplicates
+from quillgraph.llm.neighbours import nearest
 from quillgraph.llm.ngram_join import ngram_classes
 from quillgraph.llm.packing import pack_documents
 from quillgraph.llm.text import vocabulary
@@ -30,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
     return encoded.select(
@@ -40,6 +46,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -53,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_neighbours": op8_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
