@@ -404,7 +404,7 @@ def _block_pairs(blocked: DataFrame, allowed: Column) -> DataFrame:
     )
 
 
-def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 32, most_hot: int = 1 << 20, long_list: int = 16, block: int = 256, block_grams: int = 1 << 20) -> DataFrame:
+def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 8, most_hot: int = 1 << 20, long_list: int = 64, block: int = 512, block_grams: int = 1 << 20) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text).
 
     One row per row: doc_id, n_shingles (size of its set of word n-grams), component_id (least doc_id reachable by

@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -35,20 +36,27 @@ LONGEST_CACHED = 48
 _LATIN_WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_DIGITS}]|[^\\t-\\r \\xa0{LATIN_LETTERS}{LATIN_DIGITS}]+"
 )
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Ids travel through pandas as text: a column of numbers with nulls would become floating-point there.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
+
+
+#: The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {byte: byte if byte in _PRINTABLE else 256 + sum(b not in _PRINTABLE for b in range(byte)) for byte in range(256)}
 
 
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` vocabulary file.
 
-    Words of Latin texts are looked up in a bounded memory of words seen before; the library encodes the new words of a
-    batch of texts in one call. Texts with other scripts, control characters or special strings go to the library whole.
+    Words of Latin texts are looked up in a bounded memory of words seen before; the library's model merges new ones.
+    Texts with other scripts, control characters or special strings go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
@@ -56,20 +64,12 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode words side by side in one call; each word comes back under its own word number."""
+        """Have the library's model merge each word, spelt in its alphabet of bytes."""
         if len(self.known) + len(words) > CACHED:
             self.known.clear()
-        encoding = self.library.encode(" ".join(words), add_special_tokens=False)
-        owners = np.array(encoding.word_ids, dtype=np.int64)
-        ids = np.array(encoding.ids, dtype="<u4")
-        if len(owners) == 0 or owners[-1] + 1 != len(words) or len(np.unique(owners)) != len(words):
-            self.known.update((w, self.whole(w)) for w in words)
-            return
-        ends = np.searchsorted(owners, np.arange(len(words)), side="right")
-        raw, begin = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[word] = raw[begin:end]
-            begin = end
+        for word in words:
+            merged = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
+            self.known[word] = struct.pack(f"<{len(merged)}I", *[token.id for token in merged])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text (null: empty)."""
@@ -136,38 +136,44 @@ def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, window: int,
             for doc_id, raw in zip(ids[at : at + 256], encode(texts[at : at + 256]), strict=True):
                 raw += end
                 tokens, view = len(raw) // 4, memoryview(raw)
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
                 rows += [(doc_id, s, n, zlib.crc32(view[4 * s : 4 * (s + n)]), tokens) for s, n in cuts(tokens, window, piece_tokens)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        yield out.astype({"doc_id": "Int64"} | {c: "int64" for c in out.columns[1:]})
+        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, window: int = 4096, piece_tokens: int = 512) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        partial(_pieces, path=vocabulary_path, end_id=end_id, window=window, piece_tokens=piece_tokens), PIECES
-    )
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
+    cut = partial(_pieces, path=vocabulary_path, end_id=end_id, window=window, piece_tokens=piece_tokens)
+    return rows.mapInPandas(cut, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: ``k`` subsets of the indexes of ``sizes`` with near-equal sums.
 
-    A partial partition is k sums, largest first and the smallest taken off all, with their members. The two with the
-    greatest spread are merged, large sums with small ones, until one is left.
+    A partial partition is its subsets in use, by falling sum, with the least sum taken off all once none of the k is
+    empty. The two with the greatest spread are merged until one is left: the subsets of both side by side while there
+    is room, beyond that the smallest of one with the smallest of the other.
     """
-    none: list = []
-    heap = [(-s, i, [s] + [0] * (k - 1), [[i]] + [none] * (k - 1)) for i, s in enumerate(sizes)]
+    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     order = len(sizes)
     while len(heap) > 1:
-        _, _, high, first = heapq.heappop(heap)
-        _, _, low, second = heapq.heappop(heap)
-        merged = [(x + y, m + n if m and n else m or n) for x, y, m, n in zip(high, reversed(low), first, reversed(second), strict=True)]
-        merged.sort(key=lambda part: -part[0])
-        least = merged[-1][0]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        alone, also = min(len(a), k - len(b)), min(len(b), k - len(a))
+        merged = a[:alone] + b[:also]
+        merged += [(x + y, m + n) for (x, m), (y, n) in zip(a[alone:], reversed(b[also:]), strict=True)]
+        merged.sort(key=_by_sum)
+        if len(merged) == k and (least := merged[-1][0]):
+            merged = [(s - least, m) for s, m in merged]
         order += 1
-        heapq.heappush(heap, (least - merged[0][0], order, [s - least for s, _ in merged], [m for _, m in merged]))
-    return heap[0][3] if heap else []
+        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
+        heapq.heappush(heap, (-spread, order, merged))
+    return [m for _, m in heap[0][2]] if heap else []
+
+
+def _by_sum(subset: tuple[int, list[int]]) -> int:
+    return -subset[0]
 
 
 def windows(sizes: list[int], window: int) -> list[list[int]]:
@@ -207,9 +213,10 @@ def pack(pieces: DataFrame, window: int = 4096, group_windows: int = 128) -> Dat
     total = rests.agg(F.sum("length")).first()[0] or 0
     groups = max(1, math.ceil(total / (window * group_windows)))
     packed = (
-        rests.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        rests.withColumns({"doc_id": F.col("doc_id").cast("string"), "_group": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))})
         .groupBy("_group")
-        .applyInPandas(partial(_pack_group, window=window), f"{PIECES}, sequence_id long, offset long")
+        .applyInPandas(lambda key, frame: _pack_group(key, frame, window), f"{PIECES}, sequence_id long, offset long")
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
     whole = pieces.where(F.col("length") == window).select(
         "*", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

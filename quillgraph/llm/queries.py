@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import byte_bpe, pii, quality
+from quillgraph.llm import byte_bpe, chat, pii, quality
 from quillgraph.llm.embedding_dedup import near_duplicates
 from quillgraph.llm.neighbours import nearest
 from quillgraph.llm.ngram_join import ngram_classes
@@ -46,6 +46,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    nodes, conversations = chat.prefix_trees(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    return chat.digests(nodes, conversations)
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat": op7_chat,
     "op8_neighbours": op8_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
