@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import byte_bpe, chat, pii, quality
+from quillgraph.llm import byte_bpe, chat, pii, quality, warc
 from quillgraph.llm.embedding_dedup import near_duplicates
 from quillgraph.llm.neighbours import nearest
 from quillgraph.llm.ngram_join import ngram_classes
@@ -36,6 +36,41 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def crawl(pages: DataFrame) -> DataFrame:
+    """WARC records of a crawl that captured each page in full once and asked for it again once.
+
+    Ids are 2 * page_id for the response (captured on day page_id) and 2 * page_id + 1 for the revisit, which comes later
+    by 1000 * (page_id mod 97) days and an hour, under the URL with its scheme and host in capitals and, for some pages,
+    before the response. Revisits state the entity tag of their page, only the time of its last modification, or neither.
+    """
+    day = F.col("page_id") * 86400
+    etag, modified = F.concat(F.lit('"'), F.sha1("html"), F.lit('"')), (day - 3600).cast("string")
+    headers = lambda *pairs: F.map_filter(F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in pairs)), lambda _, v: v.isNotNull())
+    id_, url = F.col("page_id"), F.col("url")
+    full = pages.select(
+        (id_ * 2).alias("record_id"), F.lit("response").alias("warc_type"), F.lit(200).alias("status"), url, F.timestamp_seconds(day).alias("captured"),
+        headers("Content-Type", "text/html", "Content-Length", F.octet_length("html").cast("string"), "ETag", etag, "Last-Modified", modified, "Date", day.cast("string"), "Cache-Control", "max-age=60").alias("headers"),
+    )
+    again = F.when(id_ % 13 == 0, day - 86400).otherwise(day + (id_ % 97) * 86_400_000 + 3600)
+    shouted = F.concat(F.upper(F.regexp_extract(url, "^[^:]*://[^/?#]*", 0)), F.regexp_replace(url, "^[^:]*://[^/?#]*", ""))
+    revisit = pages.select(
+        (id_ * 2 + 1).alias("record_id"), F.lit("revisit").alias("warc_type"), F.lit(304).alias("status"), shouted.alias("url"), F.timestamp_seconds(again).alias("captured"),
+        headers("ETag", F.when((id_ % 7 != 0) & (id_ % 17 != 0), F.concat(F.lit("W/"), etag)), "Last-Modified", F.when((id_ % 7 == 0) & (id_ % 17 != 0), modified), "Date", again.cast("string"),
+                "Cache-Control", "max-age=3600", "Content-Length", "0", "Connection", "close, X-Hop", "X-Hop", "a", "X-Served", "again").alias("headers"),
+    )
+    return full.unionByName(revisit)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    bodies = pages.select((F.col("page_id") * 2).alias("record_id"), F.sha2("html", 256).alias("body_sha256"))
+    resolved = warc.with_payloads(warc.resolve(crawl(pages)), bodies)
+    return resolved.select(
+        F.shiftright("record_id", 1).alias("page_id"), "url", "outcome", F.shiftright("response_id", 1).alias("response_page"),
+        F.sha2(warc.header_block(F.col("headers")), 256).alias("headers_sha256"), "body_sha256",
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
     return encoded.select(
@@ -71,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
     "op8_neighbours": op8_neighbours,
@@ -78,4 +114,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (
+    SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM worded)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+    JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 80 * (s.n + t.n - c)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1) c ON c.doc_id = d.doc_id
+"""
+
+_OP4 = """
+WITH RECURSIVE able AS MATERIALIZED (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS MATERIALIZED (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM able),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+    WHERE list_dot_product(a.u, b.u) >= 0.93),
+reach AS (SELECT DISTINCT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id, coalesce(c.least, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) n ON n.a = e.vec_id
+LEFT JOIN (SELECT vec_id, min(other) AS least FROM reach GROUP BY 1) c ON c.vec_id = e.vec_id
+"""
+
+_OP5 = r"""
+WITH p AS (
+    SELECT page_id, html, regexp_replace(url, '#.*$', '') AS plain, page_id * 86400 AS day,
+        CASE WHEN page_id % 13 = 0 THEN page_id * 86400 - 86400 ELSE page_id * 86400 + (page_id % 97) * 86400000 + 3600 END AS again FROM pages),
+q AS (SELECT *, lower(regexp_extract(plain, '^[^:]*://[^/?]*')) || CASE WHEN regexp_replace(plain, '^[^:]*://[^/?]*', '') LIKE '/%' THEN '' ELSE '/' END || regexp_replace(plain, '^[^:]*://[^/?]*', '') AS u FROM p),
+m AS (
+    SELECT r.page_id, r.u AS url, f.page_id AS found, f.html, r.again, f.day,
+        CASE WHEN f.page_id IS NULL THEN 'no earlier response' WHEN r.page_id % 17 = 0 THEN 'no validator'
+            WHEN r.page_id % 7 <> 0 AND r.html = f.html OR r.page_id % 7 = 0 AND r.day = f.day THEN 'resolved' ELSE 'validator mismatch' END AS outcome
+    FROM q r ASOF LEFT JOIN q f ON r.u = f.u AND f.day < r.again)
+SELECT page_id, url, outcome, CASE WHEN outcome = 'resolved' THEN found END AS response_page,
+    CASE WHEN outcome = 'resolved' THEN sha256('cache-control: max-age=3600' || chr(10) || 'content-length: ' || strlen(html) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || again || chr(10)
+        || 'etag: ' || CASE WHEN page_id % 7 <> 0 THEN 'W/' ELSE '' END || '"' || sha1(html) || '"' || chr(10) || 'last-modified: ' || (day - 3600) || chr(10) || 'x-served: again' || chr(10)) END AS headers_sha256,
+    CASE WHEN outcome = 'resolved' THEN sha256(html) END AS body_sha256
+FROM m
+"""
+
+_OP7 = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+        SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+s AS (SELECT *, length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '<', '')) AS more,
+    length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, '>', '')) AS more_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+    CAST(sum(length('<turn:></turn>') + 1 + length(role) + more_role + length(text) + more) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": _OP1, "op4_embedding_dedup": _OP4, "op5_warc": _OP5, "op7_chat": _OP7}
