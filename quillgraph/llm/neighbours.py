@@ -32,28 +32,32 @@ from quillgraph.llm.vectors import doubles, usable
 from quillgraph.storage import discard, materialize
 
 LEAF = 256
+#: Candidates scored at once.
+SLICE = 8192
 
 
-def _matrix(raw: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _matrix(raw: pd.Series, kind: str = "<f8") -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1)
 
 
 def _packed(frames: Iterator[pd.DataFrame], squared: float) -> Iterator[pd.DataFrame]:
-    """Vectors as bytes, with the component that makes them equally long."""
+    """Vectors as bytes, with the component that makes them equally long: x in double, f in single precision. The graph
+    is built on f; searches and scores use x."""
     for frame in frames:
         x = np.array(frame["v"].tolist(), dtype="<f8").reshape(len(frame), -1)
         more = np.sqrt(np.maximum(0.0, squared - (x * x).sum(axis=1)))
-        yield pd.DataFrame({"node": frame["node"], "x": [row.tobytes() for row in np.column_stack((x, more)).astype("<f8")]})
+        both = np.column_stack((x, more))
+        yield pd.DataFrame({"node": frame["node"], "x": [row.tobytes() for row in both.astype("<f8")], "f": [row.tobytes() for row in both.astype("<f4")]})
 
 
 def _leaves(frames: Iterator[pd.DataFrame], trees: int, depth: int, mean: np.ndarray) -> Iterator[pd.DataFrame]:
     """Each node's leaf in each tree: the signs of a few projections, taken at the mean."""
     planes = np.random.Generator(np.random.PCG64(11)).standard_normal((len(mean), trees * depth))
     for frame in frames:
-        signs = (_matrix(frame["x"]) - mean) @ planes > 0 if depth else np.zeros((len(frame), 0), dtype=bool)
+        signs = (_matrix(frame["f"], "<f4") - mean) @ planes > 0 if depth else np.zeros((len(frame), 0), dtype=bool)
         for t in range(trees):
             leaf = signs[:, t * depth : (t + 1) * depth] @ (1 << np.arange(depth)) if depth else np.zeros(len(frame), dtype=np.int64)
-            yield pd.DataFrame({"tree": t, "leaf": leaf.astype(np.int64), "node": frame["node"], "x": frame["x"]})
+            yield pd.DataFrame({"tree": t, "leaf": leaf.astype(np.int64), "node": frame["node"], "f": frame["f"]})
 
 
 def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +70,7 @@ def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def _first_graph(frame: pd.DataFrame, degree: int) -> pd.DataFrame:
-    x, ids = _matrix(frame["x"]), frame["node"].to_numpy(dtype=np.int64)
+    x, ids = _matrix(frame["f"], "<f4"), frame["node"].to_numpy(dtype=np.int64)
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
     at, own = _nearest(scores, ids, min(degree, max(len(ids) - 1, 1)))
@@ -84,10 +88,17 @@ def _descend(nodes: pd.DataFrame, near: pd.DataFrame, degree: int) -> pd.DataFra
     others = near["w"].to_numpy(dtype=np.int64)
     if not len(others):
         return pd.DataFrame({"node": ids, "block": nodes["block"], "nbrs": [others] * len(ids)}, columns=names)
-    scores = _matrix(nodes["x"]) @ _matrix(near["y"]).T
-    scores[ids[:, None] == others[None, :]] = -np.inf
-    at, own = _nearest(scores, others, degree)
-    return pd.DataFrame({"node": ids, "block": nodes["block"], "nbrs": [others[a[np.isfinite(o)]] for a, o in zip(at, own, strict=True)]}, columns=names)
+    x, y = _matrix(nodes["f"], "<f4"), _matrix(near["y"], "<f4")
+    best, marks = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=np.float32)
+    for at in range(0, len(others), SLICE):
+        own = others[at : at + SLICE]
+        scores = x @ y[at : at + SLICE].T
+        scores[ids[:, None] == own[None, :]] = -np.inf
+        top, value = _nearest(scores, own, degree)
+        best, marks = np.hstack((best, own[top])), np.hstack((marks, value))
+        order = np.lexsort((best, -marks), axis=1)[:, :degree]
+        best, marks = np.take_along_axis(best, order, axis=1), np.take_along_axis(marks, order, axis=1)
+    return pd.DataFrame({"node": ids, "block": nodes["block"], "nbrs": [b[np.isfinite(m)] for b, m in zip(best, marks, strict=True)]}, columns=names)
 
 
 def _split(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -102,32 +113,34 @@ def _apart(near: DataFrame) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, degree: int = 24, trees: int = 4, rounds: int = 2) -> DataFrame:
-    """(node, block, nbrs array<long>): a written neighbour graph of ``nodes`` (node, x), which must be written too."""
+    """(node, block, nbrs array<long>): a written neighbour graph of ``nodes`` (node, f), which must be written too. A
+    round goes from all neighbours, in both directions, to the nearest ``degree / 2`` of theirs."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, math.ceil(math.log2(max(n, 1) / LEAF))) if n > LEAF else 0
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"s": [_matrix(frame["x"]).sum(axis=0)]})
+            yield pd.DataFrame({"s": [_matrix(frame["f"], "<f4").sum(axis=0, dtype=np.float64)]})
 
-    total = nodes.select("x").mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s"))
+    total = nodes.select("f").mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s"))
     mean = np.array([r["s"] for r in total.orderBy("k").collect()]) / max(n, 1)  # as many numbers as a vector has
-    leaves = nodes.mapInPandas(partial(_leaves, trees=trees, depth=depth, mean=mean), "tree int, leaf long, node long, x binary")
+    leaves = nodes.mapInPandas(partial(_leaves, trees=trees, depth=depth, mean=mean), "tree int, leaf long, node long, f binary")
     leaves = _split(leaves, ["tree", "leaf"], LEAF)
     first = leaves.groupBy("tree", "leaf", "salt").applyInPandas(lambda frame: _first_graph(frame, degree), "node long, w array<long>, d array<float>")
     pairs = first.select("node", F.explode(F.arrays_zip("d", "w")).alias("e")).groupBy("node").agg(F.collect_set("e").alias("e"))
     best = F.slice(F.array_distinct(F.transform(F.array_sort("e"), lambda e: e["w"])), 1, degree)
-    blocks = leaves.where("tree = 0").select("node", F.xxhash64("leaf", "salt").alias("block"))
+    # four neighbouring leaves share a block, and so the vectors that they gather
+    blocks = leaves.where("tree = 0").select("node", F.xxhash64(F.shiftright("leaf", 2), "salt").alias("block"))
     graph = materialize(blocks.join(pairs.select("node", best.alias("nbrs")), "node", "left").withColumn("nbrs", F.coalesce("nbrs", F.expr("cast(array() as array<long>)"))), "graph")
     own = graph.select("node", "block")
     for _ in range(rounds):
         forward = graph.select("node", "block", F.explode("nbrs").alias("w"))
         reverse = forward.select(F.col("w").alias("node"), F.col("node").alias("w")).join(own, "node")
         one = forward.select("block", "w").unionByName(reverse.select("block", "w")).unionByName(graph.select("block", F.col("node").alias("w"))).distinct()
-        two = one.join(graph.select(F.col("node").alias("w"), "nbrs"), "w").select("block", F.explode("nbrs").alias("w")).distinct()
-        near = one.unionByName(two).distinct().join(nodes.select(F.col("node").alias("w"), F.col("x").alias("y")), "w")
-        mine = own.join(nodes, "node")
+        two = one.join(graph.select(F.col("node").alias("w"), F.slice("nbrs", 1, degree // 2).alias("nbrs")), "w").select("block", F.explode("nbrs").alias("w")).distinct()
+        near = one.unionByName(two).distinct().join(nodes.select(F.col("node").alias("w"), F.col("f").alias("y")), "w")
+        mine = own.join(nodes.select("node", "f"), "node")
         found = mine.groupBy("block").cogroup(_apart(near).groupBy("block")).applyInPandas(lambda a, b: _descend(a, b, degree), "node long, block long, nbrs array<long>")
         before, graph = graph, materialize(found, "graph")
         own = graph.select("node", "block")
@@ -209,10 +222,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24,
     kept = rows.select("v", "vec_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     groups = materialize(kept.groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("members")), "nodes")
     longest = groups.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
-    nodes = materialize(groups.select("node", "v").mapInPandas(partial(_packed, squared=longest), "node long, x binary"), "node_vectors")
+    nodes = materialize(groups.select("node", "v").mapInPandas(partial(_packed, squared=longest), "node long, x binary, f binary"), "node_vectors")
     graph = build_graph(nodes, degree, trees, rounds)
     asked = rows.where("asks").select("vec_id", "v").distinct().join(groups.select("v", "node"), "v").groupBy("node").agg(F.collect_set("vec_id").alias("askers"))
-    asked = materialize(asked.join(nodes, "node"), "asked")
+    asked = materialize(asked.join(nodes.select("node", "x"), "node"), "asked")
     width = F.octet_length("x") - 8
     found = search(graph, nodes, asked.select(F.col("node").alias("query"), "node", F.substring("x", F.lit(1), width).alias("q")), max(beam, k + 1))
     hits = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query", F.col("h.ids").alias("node"), F.col("h.scores").alias("score"))
