@@ -114,7 +114,7 @@ def _apart(near: DataFrame) -> DataFrame:
 
 def build_graph(nodes: DataFrame, degree: int = 24, trees: int = 4, rounds: int = 2) -> DataFrame:
     """(node, block, nbrs array<long>): a written neighbour graph of ``nodes`` (node, f), which must be written too. A
-    round goes from all neighbours, in both directions, to the nearest ``degree / 2`` of theirs."""
+    round tries all neighbours, in both directions, and the nearest ``degree / 4`` of the nearest ``degree / 4``."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, math.ceil(math.log2(max(n, 1) / LEAF))) if n > LEAF else 0
@@ -138,7 +138,8 @@ def build_graph(nodes: DataFrame, degree: int = 24, trees: int = 4, rounds: int
         forward = graph.select("node", "block", F.explode("nbrs").alias("w"))
         reverse = forward.select(F.col("w").alias("node"), F.col("node").alias("w")).join(own, "node")
         one = forward.select("block", "w").unionByName(reverse.select("block", "w")).unionByName(graph.select("block", F.col("node").alias("w"))).distinct()
-        two = one.join(graph.select(F.col("node").alias("w"), F.slice("nbrs", 1, degree // 2).alias("nbrs")), "w").select("block", F.explode("nbrs").alias("w")).distinct()
+        closest = graph.select("block", F.explode(F.slice("nbrs", 1, degree // 4)).alias("w")).distinct()
+        two = closest.join(graph.select(F.col("node").alias("w"), F.slice("nbrs", 1, degree // 4).alias("nbrs")), "w").select("block", F.explode("nbrs").alias("w")).distinct()
         near = one.unionByName(two).distinct().join(nodes.select(F.col("node").alias("w"), F.col("f").alias("y")), "w")
         mine = own.join(nodes.select("node", "f"), "node")
         found = mine.groupBy("block").cogroup(_apart(near).groupBy("block")).applyInPandas(lambda a, b: _descend(a, b, degree), "node long, block long, nbrs array<long>")
