@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,6 @@ def duck(sf_dir):
 
 def rows_of(frame):
     """Rows as a sorted list of comparable tuples, columns by name."""
-    clean = lambda x: None if x is None or x != x else round(float(x), 6) + 0.0 if isinstance(x, (int, float)) or hasattr(x, "dtype") else x
+    clean = lambda x: None if pd.isna(x) else round(float(x), 6) + 0.0 if isinstance(x, (int, float)) or hasattr(x, "dtype") else x
     frame = frame[sorted(frame.columns)]
     return sorted((tuple(map(clean, row)) for row in frame.itertuples(index=False, name=None)), key=str)
