@@ -143,6 +143,8 @@ def _frame(**columns) -> pd.DataFrame:
 
 def _cut(keys: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of ``keys`` by block (their low bits)."""
+    if not len(keys):
+        return
     block = (keys & U(blocks - 1)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     found, begins = np.unique(block[order], return_index=True)
