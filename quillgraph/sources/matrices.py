@@ -35,7 +35,7 @@ def write_matrix_market(a: DataFrame, path: str, n: int) -> None:
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
     """(i, v) of a text with the length and then the values."""
-    words = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "x"))
+    words = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("k", "x"))
     return words.where("k > 0").select((F.col("k") - 1).cast("long").alias("i"), F.col("x").cast("double").alias("v"))
 
 
