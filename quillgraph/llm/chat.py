@@ -6,7 +6,8 @@ the formatted text; each turn is formatted on its own, so a tokenizer may be app
 
 1. *Paths*: a conversation is the path of its turns' prefix digests. Equal conversations share a leaf.
 2. *Segments*: leaves are dealt by their first turn; a first turn that more than ``most`` leaves share is dealt on by the
-   next turn, and so on. Nodes above the cut are *trunk* nodes with a segment of their own each.
+   next turn, and so on. Nodes above the cut are *trunk* nodes with a segment of their own each; so are all nodes of a
+   leaf that ends there.
 3. *Depth-first emission*: within a segment, leaves are sorted by path; each emits the nodes that it does not share with
    the one before. Every node, and so every shared turn, is emitted once in the whole output.
 4. Each node has its place (segment, start, end), the position id of its first symbol (the length of its ancestors), the
@@ -134,8 +135,10 @@ def prefix_trees(turns: DataFrame, most: int = 2048) -> tuple[DataFrame, DataFra
             break
         depth += 1
         sized = dealt.join(large.select("segment", F.ceil(F.col("count") / (most / 2)).alias("deals")), "segment", "left")
-        part = F.pmod(F.xxhash64(F.get("path", F.lit(depth))), F.col("deals"))
-        again = F.col("deals").isNotNull() & (F.size("path") > depth)
+        again = F.col("deals").isNotNull()
+        # a leaf that ends above the cut has trunk nodes only, as its longer siblings have them, so any part may emit it
+        key = F.coalesce(F.get("path", F.lit(depth)), F.concat_ws(".", "leaf", F.lit(depth)))
+        part = F.pmod(F.xxhash64(key), F.col("deals"))
         dealt = materialize(
             sized.withColumns({"cut": F.when(again, depth).otherwise(F.col("cut")), "segment": F.when(again, F.concat_ws(".", "segment", part.cast("string"))).otherwise(F.col("segment"))}).drop("deals"),
             "chat_leaves",

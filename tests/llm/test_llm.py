@@ -121,6 +121,27 @@ def test_chat_reads_back():
         assert chat.parse(formatted * 2) == [("assistant", text)] * 2 and chat.unescape(formatted[low:high]) == text
 
 
+@pytest.mark.parametrize("most", [10, 2])
+def test_chat_prefix_of_many(spark, most):
+    """Conversations that are prefixes of more others than a segment may hold, one and two turns down."""
+    talks = []
+    for r in range(12):
+        root, reply = ("user", f"root {r} <é"), ("assistant", f"reply {r}")
+        talks += [[root], [root, reply], [root], *([root, reply, ("user", f"q{k}"), ("assistant", f"a{k}")] for k in range(7)), *([root, ("assistant", f"other {k}")] for k in range(5))]
+    rows = [(c, t, role, text) for c, talk in enumerate(talks) for t, (role, text) in enumerate(talk)]
+    nodes, conversations = chat.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=most)
+    assert nodes.count() == len({tuple(talk[: k + 1]) for talk in talks for k in range(len(talk))})
+    kept = nodes.select("node", "segment", "start", "stop").collect()
+    places = {(n["segment"], at) for n in kept for at in range(n["start"], n["stop"])}
+    assert all((a["segment"], at) in places for n in nodes.collect() for a in n["ancestors"] for at in range(a["start"], a["stop"]))
+    got = {r["conv_id"]: r for r in chat.digests(nodes, conversations).collect()}
+    for c, talk in enumerate(talks):
+        under = "".join(text for role, text in talk if role == "assistant")
+        assert (got[c]["n_turns"], got[c]["loss_chars"]) == (len(talk), len(under)) and got[c]["loss_sha256"] == hashlib.sha256(under.encode()).hexdigest()
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in talk).encode()).hexdigest()
+        assert got[c]["formatted_chars"] == sum(len(chat.format_turn(*turn)[0]) for turn in talk)
+
+
 def test_token_counts(spark, docs):
     import sentencepiece
 
