@@ -107,6 +107,7 @@ ORACLES: dict[str, str] = {
     "spmv_min_index": _sql("SELECT i, min(j) AS v FROM lap WHERE v <> 0 GROUP BY i"),
     "spmv_collect": _sql("SELECT i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS v FROM adj GROUP BY i"),
     "spgemm": f"WITH e0 AS ({_edges('nation', 'n_nationkey', 'n_regionkey')}), {_BOTH} SELECT a.i, b.j, sum(a.w * b.w) AS v FROM adj a JOIN adj b ON b.i = a.j GROUP BY 1, 2",
+    "spgemm_customer_order": f"WITH e0 AS ({_edges('orders', 'o_custkey', 'o_orderkey')}), {_BOTH} SELECT a.i, b.j, sum(a.w * b.w) AS v FROM adj a JOIN adj b ON b.i = a.j GROUP BY 1, 2",
     "residual": _sql("SELECT y.i, round(y.v - sum(a.v * x.v), 6) + 0 AS v FROM lap a JOIN x ON x.i = a.j JOIN y ON y.i = a.i GROUP BY y.i, y.v"),
     "residual_norm": _sql("SELECT round(sqrt(sum(r * r)), 6) AS v FROM (SELECT y.v - sum(a.v * x.v) AS r FROM lap a JOIN x ON x.i = a.j JOIN y ON y.i = a.i GROUP BY y.i, y.v)"),
     "laplacian": _sql("SELECT i, j, v FROM lap"),
@@ -116,6 +117,8 @@ ORACLES: dict[str, str] = {
         SELECT i, j, sum(v) / 2 AS v FROM (SELECT i, j, v FROM a UNION ALL SELECT j, i, v FROM a) GROUP BY 1, 2""",
     "cooccurrence": """WITH a AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY 1, 2)
         SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON b.j = a.j AND a.i <> b.i GROUP BY 1, 2""",
+    "cooccurrence_all": """WITH a AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
+        SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON b.j = a.j AND a.i <> b.i GROUP BY 1, 2""",
     "connected_components": f"WITH {_STARS} SELECT i, label FROM l",
     "component_sizes": f"WITH {_STARS} SELECT label, count(*) AS size FROM l GROUP BY label",
     "largest_cc": f"""WITH e0 AS ({_edges("nation", "n_nationkey", "n_regionkey")}), {_BOTH}, lab AS (SELECT j, greatest(j, max(i)) AS label, count(*) AS n FROM e0 GROUP BY j),

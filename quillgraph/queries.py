@@ -152,6 +152,12 @@ def spgemm(spark, sf_dir):
     return linalg.spgemm(a, a)
 
 
+@query
+def spgemm_customer_order(spark, sf_dir):
+    a = graph.as_matrix(graphs.customer_order(spark, sf_dir))
+    return linalg.spgemm(a, a)
+
+
 @query
 def residual(spark, sf_dir):
     lap = lap_of(spark, sf_dir)
@@ -194,6 +200,12 @@ def cooccurrence(spark, sf_dir):
     return graph.cooccurrence(linalg.from_triples(rows))
 
 
+@query
+def cooccurrence_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.lit(1.0).alias("v"))
+    return graph.cooccurrence(linalg.from_triples(rows))
+
+
 @query
 def connected_components(spark, sf_dir):
     return graph.connected_components(graphs.customer_order(spark, sf_dir))

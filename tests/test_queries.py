@@ -29,6 +29,16 @@ def test_query(spark, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck(SF).execute(ORACLES[name]).df())
 
 
+def test_products_of_whole_tables(spark):
+    """All rows of the tables count: the products' totals follow from the rows of each part, and of each customer."""
+    con = duck(SF)
+    shared = "SELECT sum(n * n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {})"
+    pairs = QUERIES["cooccurrence_all"](spark, SF).toPandas()
+    assert pairs.v.sum() == con.execute(shared.format("l_partkey")).fetchone()[0] - con.execute(shared.format("l_partkey, l_suppkey")).fetchone()[0]
+    squared = QUERIES["spgemm_customer_order"](spark, SF).toPandas()
+    assert squared.v.sum() == sum(con.execute(f"SELECT sum(n * n) FROM (SELECT count(*) AS n FROM orders GROUP BY {key})").fetchone()[0] for key in ("o_custkey", "o_orderkey"))
+
+
 def test_components_and_ties(spark):
     adj = adjacency(spark, [(0, 1, 1), (2, 3, 1), (3, 4, 1), (7, 7, 1)])
     assert {r["i"]: r["label"] for r in graph.connected_components(adj).collect()} == {0: 1, 1: 1, 2: 4, 3: 4, 4: 4, 7: 7}
