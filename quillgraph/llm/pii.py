@@ -177,12 +177,17 @@ def _unmarked(text: str) -> Column:
     return F.when(F.contains(plain, F.lit(MARK)), F.translate(plain, MARK, PLAIN)).otherwise(plain)
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans`` (candidates by start, then kind) in place of the text."""
+def _with_candidates(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with its candidates by start, then kind, as the column ``name``."""
     safe = docs.withColumn("_safe", _unmarked(text_col))
     cut = safe.withColumns({f"_{kind}": _parts(F.col("_safe"), kind) for kind in KINDS})
     spans = F.array_sort(F.concat(*(_spans(kind, F.col(f"_{kind}")) for kind in KINDS)))
-    return cut.withColumn("spans", spans).drop(text_col, "_safe", *(f"_{kind}" for kind in KINDS))
+    return cut.withColumn(name, spans).drop("_safe", *(f"_{kind}" for kind in KINDS))
+
+
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``spans`` (candidates by start, then kind) in place of the text."""
+    return _with_candidates(docs, text_col, "spans").drop(text_col)
 
 
 @dataclass(frozen=True)
@@ -259,8 +264,8 @@ def learn(found: DataFrame) -> Verdicts:
     return estimate({(r["kind"], r["pattern"]): r["count"] for r in counts})
 
 
-def decided(found: DataFrame, verdicts: Verdicts) -> DataFrame:
-    """``found`` with ``spans`` narrowed to base spans and accepted added ones."""
+def decided(found: DataFrame, verdicts: Verdicts, name: str = "spans") -> DataFrame:
+    """``found`` with its spans (column ``name``) narrowed to base spans and accepted added ones."""
 
     def keep(x: Column) -> Column:
         accepted = F.lit(False)
@@ -268,7 +273,7 @@ def decided(found: DataFrame, verdicts: Verdicts) -> DataFrame:
             accepted = accepted | ((x["kind"] == kind) & verdicts.accepts(kind, x["pattern"]))
         return (x["kind"] < BASE) | accepted
 
-    return found.withColumn("spans", F.filter("spans", keep))
+    return found.withColumn(name, F.filter(name, keep))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -300,25 +305,40 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def _shown(number: int, parts: Column, verdicts: Verdicts) -> Callable[[Column, Column], Column]:
-    kind = KINDS[number]
+def _replaced(text: Column, spans: Column, slice_: int = 256) -> Column:
+    """The text with each run of overlapping spans replaced by the kind that begins it. It is cut in slices of the spans,
+    and each slice's part of the text once more, so the work on many spans stays well below the square of their number."""
+    cuts = F.expr("cast(array() as array<struct<a:int,b:int,kind:int>>)")
+    names = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
 
-    def shown(x: Column, i: Column) -> Column:
-        taken = _valid(kind, x) if number < BASE else verdicts.accepts(number, _pattern(kind, x, _before(parts, i), _after(parts, i)))
-        return F.when((i % 2 == 1) & taken, f"<{kind.upper()}>").otherwise(x)
+    def step(state: Column, x: Column) -> Column:
+        cut = F.array(F.struct(state["at"].alias("a"), x["s"].alias("b"), x["kind"].alias("kind")))
+        own = F.when(x["s"] >= state["at"], F.concat(state["cuts"], cut)).otherwise(state["cuts"])
+        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), own.alias("cuts"))
+
+    def over_slice(state: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(spans, k * slice_ + 1, F.lit(slice_)), F.struct(state["at"].alias("at"), cuts.alias("cuts")), step)
+
+        def shown(o: Column) -> Column:
+            begin = state["at"]
+            part = F.substring(text, begin + 1, o["at"] - begin)
+            pieces = lambda p: F.transform(o["cuts"], lambda c: F.concat(F.substring(p, c["a"] - begin + 1, c["b"] - c["a"]), F.element_at(names, c["kind"] + 1)))
+            return F.struct(o["at"].alias("at"), F.array_join(F.flatten(F.transform(F.array(part), pieces)), "").alias("text"))
+
+        # the inner state, and what it shows, are taken apart once
+        return F.aggregate(
+            F.transform(F.array(own), shown), F.struct(state["at"].alias("at"), state["all"].alias("all")), lambda s, o: F.struct(o["at"].alias("at"), F.concat(s["all"], F.array(o["text"])).alias("all"))
+        )
 
-    return shown
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("all"))
+    slices = F.sequence(F.lit(0), ((F.size(spans) - 1) / slice_).cast("int"))
+    return F.aggregate(slices, start, over_slice, lambda s: F.concat(F.array_join(s["all"], ""), F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def redact(docs: DataFrame, verdicts: Verdicts, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span in its text replaced by its kind in angle brackets. Kinds are replaced in their order,
-    each in what the ones before have left, so overlapping spans are replaced once. All other columns, and null texts,
-    stay as they are; so do texts without spans."""
-    out = docs.withColumn("_text", _unmarked(text_col))
-    for number, kind in enumerate(KINDS):
-        out = out.withColumn("_parts", _parts(F.col("_text"), kind))
-        parts = F.col("_parts")
-
-        out = out.withColumn("_text", F.when(parts.isNull(), F.col("_text")).otherwise(F.array_join(F.transform(parts, _shown(number, parts, verdicts)), "")))
-    changed = F.col("_text") != _unmarked(text_col)
-    return out.withColumn(text_col, F.when(changed, F.col("_text")).otherwise(F.col(text_col))).drop("_text", "_parts")
+    """``docs`` with the spans that :func:`decided` keeps of its text replaced by their kinds in angle brackets. All are
+    found and decided in the text as it came; overlapping spans are replaced as one, by the kind that begins first. All
+    other columns, and null texts, stay as they are; so do texts without spans."""
+    out = decided(_with_candidates(docs, text_col, "_found"), verdicts, "_found")
+    text = F.col(text_col).cast("string")
+    return out.withColumn(text_col, F.when(F.size("_found") > 0, _replaced(text, F.col("_found"))).otherwise(F.col(text_col))).drop("_found")

@@ -57,6 +57,25 @@ def test_pii(spark, docs):
     assert pii.find(docs.where("false")).count() == 0
 
 
+def test_redact_agrees_with_decided(spark):
+    """Names and secrets beside contacts, overlapping spans, many spans: what is decided is what goes."""
+    secret = "ghp_0123456789abcdefABCD"
+    texts = [f"by James Smith, write to a{k}@example.org, token {secret}{k} 😀" for k in range(40)]
+    texts += ["IP 10.0.0.4 111 1111 1111 1111 end", "host 1.2.3.4111-1111-1111-1111", "é a@b.de " * 700 + "tail", None, "", "nothing here"]
+    docs = spark.createDataFrame([(k, t, [k]) for k, t in enumerate(texts)], "doc_id long, text string, spans array<int>")
+    seen = pii.candidates(docs.select("doc_id", "text"))
+    verdicts = pii.Verdicts({(x["kind"], x["pattern"]): 1.0 for r in seen.collect() for x in r["spans"]}, {})
+    found = {r["doc_id"]: r["spans"] for r in pii.decided(seen, verdicts).collect()}
+    assert any(x["kind"] >= pii.BASE for x in found[0]) and len(found[42]) == 700
+    for r in pii.redact(docs, verdicts).collect():
+        text, want, at = texts[r["doc_id"]], "", 0
+        for x in found[r["doc_id"]]:
+            if x["s"] >= at:
+                want += text[at : x["s"]] + f"<{pii.KINDS[x['kind']].upper()}>"
+            at = max(at, x["e"])
+        assert r["text"] == (want + text[at:] if found[r["doc_id"]] else text) and r["spans"] == [r["doc_id"]]
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
