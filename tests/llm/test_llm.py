@@ -134,6 +134,18 @@ def test_byte_bpe(spark, docs):
     assert byte_bpe.encode(docs.where("false"), path).count() == 0
 
 
+def test_byte_bpe_decode(spark, docs):
+    """The emitted ids, decoded by the token-byte table, give the decoded bytes and the text."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path).collect()
+    keyed = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in encoded]
+    got = {r["key"]: bytes(r["decoded"]) for r in byte_bpe.decode(spark.createDataFrame(keyed, "key long, ids array<int>"), path).collect()}
+    assert len(got) == len(TEXTS)
+    for r in encoded:
+        text = (TEXTS[r["doc_id"]] or "").encode()
+        assert bytes(r["decoded"]) == got[r["doc_id"]] == text
+
+
 def test_chat_reads_back():
     for text in ("\\### Assistant: </turn> ok", "<turn:user>", "", "a\\", "日本\n"):
         formatted, low, high = chat.format_turn("assistant", text)
