@@ -12,10 +12,11 @@ threshold must share a gram among the first ``n - ceil(t n) + 1`` of each (their
    discarded. The lists of more than ``long_list`` classes (families of near copies) give no pairs; they only tie their
    members together.
 3. *Families*: what surviving pairs and long lists tie together, by connected components.
-4. *Product over whole sets*: the sets of each family's classes, in blocks of at most ``block`` classes. Each block pair
+4. *Product over whole sets*: the sets of each family's classes, in blocks of about ``block`` classes. Each block pair
    accumulates its overlap counts over all grams (a dense product of two small matrices) and gives a spanning forest of
-   its links. In families of many blocks, the links within blocks and with the first block come first; after that, only
-   classes outside of the family's largest component are compared with the others.
+   its links. Families of many blocks are cut by size first: classes can only link within a range of sizes and with the
+   next one. There, the links within blocks and with the first block of a range come first; after that, only classes
+   outside of the family's largest component are compared with the others.
 
 So every pair that can reach the threshold is either compared exactly, or known to be in one component already. No step
 gathers a gram's documents in one place: lists are cut where they are made (a task sends at most ``long_list + 1``
@@ -175,7 +176,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch], rule: Rule, blocks: int) -> I
         k, m = len(rows), len(sizes)
         yield pa.record_batch(
             [
-                pa.array([r[0] for r in rows] + [(d or 0) % blocks for d in digests], pa.int64()),
+                pa.array([r[0] for r in rows] + [at % blocks for at in range(m)], pa.int64()),
                 pa.array([r[1] for r in rows] + [None] * m, pa.binary()),
                 pa.array([r[2] for r in rows] + [None] * m, pa.binary()),
                 pa.array([None] * k + batch.column(0).to_pylist(), pa.int64()),
@@ -278,15 +279,22 @@ def _multiply_block(key: tuple, frame: pd.DataFrame, rule: Rule, long_list: int)
     block = int(key[0])
     kind = "<u8" if block < 0 else "<u4"
     names = np.concatenate([np.frombuffer(x, dtype=kind) for x in frame["names"]])
+    batch = np.repeat(np.arange(len(frame)), [len(x) // np.dtype(kind).itemsize for x in frame["names"]])
     digests = np.concatenate([np.frombuffer(x, dtype="<i8") for x in frame["digests"]])
     sizes = np.concatenate([np.frombuffer(x, dtype="<u4") for x in frame["sizes"]]).astype(np.int64)
     ints = lambda x: pd.array(np.asarray(x, dtype=np.int64), dtype="Int64")
     if block < 0:
         return _frame(a=ints(names.view(np.int64)), b=ints(digests), na=pd.NA, nb=ints(sizes), c=pd.NA).astype("Int64")
-    by = np.lexsort((digests, names))
-    names, digests, sizes = names[by], digests[by], sizes[by]
-    if len(names):  # copies from different batches
-        new = np.concatenate(([True], (names[1:] != names[:-1]) | (digests[1:] != digests[:-1])))
+    # a class comes from every batch that has a copy of it, and counts once; grams of one class that share a name are told
+    # apart by their number within the batch
+    by = np.lexsort((batch, digests, names))
+    names, digests, sizes, batch = names[by], digests[by], sizes[by], batch[by]
+    if len(names):
+        change = np.concatenate(([True], (names[1:] != names[:-1]) | (digests[1:] != digests[:-1]) | (batch[1:] != batch[:-1])))
+        number = np.arange(len(names)) - np.maximum.accumulate(np.where(change, np.arange(len(names)), 0))
+        by = np.lexsort((number, digests, names))
+        names, digests, sizes, number = names[by], digests[by], sizes[by], number[by]
+        new = np.concatenate(([True], (names[1:] != names[:-1]) | (digests[1:] != digests[:-1]) | (number[1:] != number[:-1])))
         names, digests, sizes = names[new], digests[new], sizes[new]
     _, begin, count = np.unique(names, return_index=True, return_counts=True)
     found = []
@@ -294,7 +302,7 @@ def _multiply_block(key: tuple, frame: pd.DataFrame, rule: Rule, long_list: int)
         rows = begin[count == length][:, None] + np.arange(length)
         i, j = np.triu_indices(length, 1)
         left, right = rows[:, i].ravel(), rows[:, j].ravel()
-        fits = rule.sizes_fit(sizes[left], sizes[right])
+        fits = rule.sizes_fit(sizes[left], sizes[right]) & (digests[left] != digests[right])
         found.append((left[fits], right[fits]))
     left = np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in found)])
     right = np.concatenate([np.zeros(0, dtype=np.int64), *(x for _, x in found)])
@@ -397,13 +405,46 @@ def _multiply_sets(frame: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     return _frame(src=np.concatenate([x for x, _ in out]), dst=np.concatenate([x for _, x in out]))
 
 
-def _block_pairs(blocked: DataFrame, allowed: Column) -> DataFrame:
-    """Each class once for every block pair it is in. ``blocked`` has b (its block), nb (blocks of its family)."""
-    return (
-        blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o"), "side": (F.col("b") > F.col("o")).cast("int")})
-        .where(allowed)
-    )
+def _code(range_: Column, b: Column) -> Column:
+    """A block's name: its range of sizes and its number there."""
+    return range_.cast("long") * (1 << 32) + b.cast("long")
+
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _met(i: Column, j: Column, side: Column) -> Column:
+    return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+
+def _first_pairs() -> Column:
+    """The block pairs of a class: its own block, and the first block of its own range and of the one before."""
+    r, b, own = F.col("range"), F.col("b"), _code(F.col("range"), F.col("b"))
+    first = b == 0
+    with_own = F.when(first, F.transform(F.filter(_upto(F.col("nb")), lambda o: o > 0), lambda o: _met(own, _code(r, o), F.lit(0)))).otherwise(F.array(_met(_code(r, F.lit(0)), own, F.lit(1))))
+    with_next = F.transform(_upto(F.when(first, F.col("next")).otherwise(0)), lambda o: _met(own, _code(r + 1, o), F.lit(0)))
+    with_last = F.transform(_upto((F.col("last") > 0).cast("int")), lambda o: _met(_code(r - 1, o), own, F.lit(1)))
+    return F.concat(F.array(_met(own, own, F.lit(0))), with_own, with_next, with_last)
+
+
+def _other_pairs() -> Column:
+    """The block pairs of a class that have a block of classes outside of the largest component (these come first)."""
+    r, b, own = F.col("range"), F.col("b"), _code(F.col("range"), F.col("b"))
+    some = lambda outside, inside: _upto(F.when(F.col("outside"), F.col(outside) + F.col(inside)).otherwise(F.col(outside)))
+    with_own = F.transform(some("nd", "ne"), lambda o: _met(_code(r, F.least(b, o)), _code(r, F.greatest(b, o)), b > o))
+    with_next = F.transform(some("nd_next", "ne_next"), lambda o: _met(own, _code(r + 1, o), F.lit(0)))
+    with_last = F.transform(some("nd_last", "ne_last"), lambda o: _met(_code(r - 1, o), own, F.lit(1)))
+    return F.concat(with_own, with_next, with_last)
+
+
+def _with_neighbours(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``cells`` (family, range, ...) with columns of the next and the last range, 0 where there is none."""
+    for name, step in (("next", -1), ("last", 1)):
+        other = cells.select("family", (F.col("range") + step).alias("range"), *(F.col(c).alias(to.format(name)) for c, to in columns.items()))
+        cells = cells.join(other, ["family", "range"], "left")
+    return cells.na.fill(0)
 
 
 def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 8, most_hot: int = 1 << 20, long_list: int = 64, block: int = 512, block_grams: int = 1 << 20) -> DataFrame:
@@ -443,13 +484,14 @@ def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 8, most
     more = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
     possible = possible.where(F.col("c") + more + F.greatest(rest("na"), rest("nb")) >= need)
     # 3. families
-    families = star_components(possible.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(lists.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    families = families.withColumnsRenamed({"node": "dg", "label": "family"})
+    stars = star_components(possible.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(lists.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    families = stars.withColumnsRenamed({"node": "dg", "label": "family"})
     classes = signatures.where("n > 0").groupBy("dg").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
     members = materialize(classes.join(families, "dg"), "families")
-    edges = _links(rows, members, rule, block, block_grams)
+    discard(ties, stars)
+    labels = _linked_classes(rows, members, rule, block, block_grams)
+    discard(members)
     # components of classes, then of documents
-    labels = star_components(edges)
     rooted = classes.join(labels, classes["dg"] == labels["node"], "left").select("dg", "first_id", F.coalesce("label", "dg").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     component = rooted.join(least, "root").select("dg", "component")
@@ -457,8 +499,8 @@ def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 8, most
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _links(rows: DataFrame, members: DataFrame, rule: Rule, block: int, block_grams: int) -> DataFrame:
-    """src, dst: links that connect the linked classes of each family. ``members``: dg, first_id, n, family."""
+def _linked_classes(rows: DataFrame, members: DataFrame, rule: Rule, block: int, block_grams: int) -> DataFrame:
+    """(node, label): components of the linked classes of all families. ``members``: dg, first_id, n, family."""
     spark = rows.sparkSession
     count = members.count()
     bits = 1 << min(26, max(16, math.ceil(math.log2(16 * max(count, 1)))))
@@ -469,33 +511,44 @@ def _links(rows: DataFrame, members: DataFrame, rule: Rule, block: int, block_gr
         both |= np.frombuffer(row["flags"], dtype=np.uint8)
     flags = spark.sparkContext.broadcast(both.tobytes())
     sets = rows.select(slot.alias("h"), "text").mapInArrow(partial(_set_rows, rule=rule, flags=flags), "dg long, n long, grams binary")
-    sized = members.groupBy("family").agg(F.count("*").alias("classes"), F.sum("n").alias("weight"))
-    sized = sized.withColumn("nb", F.greatest(F.ceil(F.col("classes") / block), F.ceil(F.col("weight") / block_grams)).cast("int"))
-    placed = members.select("dg", "family").join(sized.select("family", "nb"), "family")
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("dg"), F.col("nb")).cast("int"))
+
+    def blocks(classes: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(classes / block), F.ceil(weight / block_grams)).cast("int")
+
+    sized = members.groupBy("family").agg((blocks(F.count("*"), F.sum("n")) > 2).alias("many"))
+    # two sizes that fit each other are in the same range or in neighbouring ones; a range is a little wider than need be
+    range_ = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / min(rule.percent, 99)) * (1 + 1e-9))).cast("int")
+    placed = members.join(sized, "family").select("dg", "family", "n", "many", F.when(F.col("many"), range_).otherwise(0).alias("range"))
+    cells = _with_neighbours(placed.groupBy("family", "range").agg(blocks(F.count("*"), F.sum("n")).alias("nb")), {"nb": "{}"})
+    placed = placed.drop("n").join(cells, ["family", "range"]).withColumn("b", F.pmod(F.xxhash64("dg"), F.col("nb")).cast("int"))
     held = materialize(sets.join(placed, "dg"), "family_sets")
     # small families go together, so that a task has enough to do; block pairs of large ones are dealt singly
     packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / 4096))
-    key = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", "i", "j"))
-    columns = ["family", "i", "j", "side", "dg", "n", "grams"]
+    key = F.when(F.col("i") == 0, F.when((F.col("j") == 0) & ~F.col("many"), F.pmod(F.xxhash64("family"), F.lit(packs))))
+    key = F.coalesce(key, F.xxhash64("family", "i", "j"))
 
-    def multiply(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("key", key).select("key", *columns).groupBy("key").applyInPandas(lambda frame: _multiply_sets(frame, rule), "src long, dst long")
+    def multiply(classes: DataFrame, pairs: Column) -> DataFrame:
+        met = classes.select("family", "many", "dg", "n", "grams", F.explode(pairs).alias("p")).select("*", "p.*")
+        return met.withColumn("key", key).select("key", "family", "i", "j", "side", "dg", "n", "grams").groupBy("key").applyInPandas(lambda frame: _multiply_sets(frame, rule), "src long, dst long")
 
-    near = F.col("i").isin(0) | (F.col("i") == F.col("j"))
-    edges = materialize(multiply(_block_pairs(held, near)), "links")
-    large = held.where("nb > 2")
-    if large.isEmpty():
-        return edges
-    # large families: what is not in the largest component yet, with everything
+    edges = materialize(multiply(held, _first_pairs()), "links")
     labels = star_components(edges)
-    at = large.select("dg", "family").distinct().join(labels, F.col("dg") == labels["node"], "left").select("dg", "family", F.coalesce("label", "dg").alias("label"))
+    large = held.where("many")
+    if large.isEmpty():
+        discard(held, edges)
+        return labels
+    # large families: what is not in the largest component yet, with all that its size may fit
+    at = large.select("dg", "family", "range").distinct().join(labels, F.col("dg") == labels["node"], "left").select("dg", "family", "range", F.coalesce("label", "dg").alias("label"))
     per = at.groupBy("family", "label").agg(F.count("*").alias("k"))
-    top = per.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("inside"), F.sum("k").alias("classes"))
+    top = per.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("top"), (F.sum("k") > F.max("k")).alias("any")).where("any")
     again = at.join(top, "family").withColumn("outside", F.col("label") != F.col("top"))
-    again = again.withColumn("nd", F.ceil((F.col("classes") - F.col("inside")) / block).cast("int"))
-    again = again.withColumn("ne", F.ceil(F.col("inside") / block).cast("int"))
-    number = F.when(F.col("outside"), F.pmod(F.xxhash64("dg"), F.col("nd"))).otherwise(F.col("nd") + F.pmod(F.xxhash64("dg"), F.col("ne")))
-    again = again.where("nd > 0").select("dg", number.cast("int").alias("b"), (F.col("nd") + F.col("ne")).alias("nb"), "nd")
-    rest = multiply(_block_pairs(large.drop("b", "nb").join(again, "dg"), F.col("i") < F.col("nd")))
-    return edges.unionByName(materialize(rest, "links"))
+    number = lambda c: F.ceil(F.count(F.when(c, 1)) / block).cast("int")
+    cells = again.groupBy("family", "range").agg(number(F.col("outside")).alias("nd"), number(~F.col("outside")).alias("ne"))
+    cells = _with_neighbours(cells, {"nd": "nd_{}", "ne": "ne_{}"})
+    h = F.xxhash64("dg")
+    again = again.join(cells, ["family", "range"]).withColumn("b", F.when(F.col("outside"), F.pmod(h, F.col("nd"))).otherwise(F.col("nd") + F.pmod(h, F.col("ne"))).cast("int"))
+    rest = multiply(large.select("dg", "n", "grams", "many").join(again, "dg"), _other_pairs())
+    more = materialize(rest, "links")
+    before, labels = labels, star_components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).unionByName(more))
+    discard(held, edges, more, before)
+    return labels
