@@ -1,14 +1,18 @@
 """Personal data by weak supervision, with DataFrame functions only (operator 2).
 
-1. *Candidates*: one scan finds the candidate spans of each kind. A pattern's matches are set between marks, the text
-   is split at the marks, and lengths give the places; nothing but the spans leaves the scan.
+1. *Candidates*: one scan finds the candidate spans of each kind, more of them than the gazetteers know: names also by
+   the title before them, secrets by their alphabet and length alone, telephone numbers without a country code by their
+   groups of digits. A pattern's matches are set between marks, the text is split at the marks, and lengths give the
+   places; nothing but the spans leaves the scan.
 2. *Votes*: on each candidate, labelers vote for, against or not at all: a strict pattern, a gazetteer, words before,
    words after, and company (other kinds' tell-tale characters close by). Votes and a length class make a *pattern*, of
    which there are at most ``PATTERNS`` a kind.
-3. *Expectation maximisation*: counts of the patterns over all documents (a bounded table) give each labeler's
-   reliabilities and each kind's prior. The posteriors train a logistic span classifier on the same bounded table.
-4. *Decision*: the classifier's verdict on a pattern decides on the spans of the added kinds. Spans of the base kinds
-   that pass their checks always stay.
+3. *Expectation maximisation*: counts of the patterns over all documents (a bounded table) give, for each kind on its
+   own, its prior and each labeler's reliabilities. The posteriors train a logistic span classifier of each kind on the
+   same bounded table.
+4. *Decision*: the classifier's verdict on a pattern decides on the spans of the added kinds. Names and telephone
+   numbers must also have a vote for them from the gazetteer or the words before. Spans of the base kinds that pass
+   their checks always stay.
 
 Patterns are linear in the text: quantifiers are possessive and matches can only start where the run of their first
 characters starts. Rows never meet, so nothing can be skewed; only (kind, pattern) counts are shuffled.
@@ -27,8 +31,10 @@ from quillgraph.storage import materialize
 
 MARK, PLAIN = "", ""
 #: Kinds in their order. The first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "secret", "name")
+KINDS = ("email", "ip", "card", "phone", "secret", "name", "tel")
 BASE = 4
+#: Added kinds that need a vote for them from one of these labelers.
+_KNOWN_BY = {"name": ("gazetteer", "before"), "tel": ("gazetteer", "before")}
 #: What a text must contain for a kind to be looked for at all.
 _NEEDS = {"email": "@", "phone": "+", "ip": "."}
 _FIND = {
@@ -38,6 +44,7 @@ _FIND = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
+    "tel": r"(?<![0-9A-Za-z+(.-])(?<!\+[0-9]{1,3}[\x20.-]?)(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z]|[-.\x20][0-9])",
 }
 # Public, common values; fixed.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "eu", "us", "ca", "it", "nl", "ch", "at")
@@ -46,14 +53,21 @@ GIVEN_NAMES = (
     "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Maria", "Anna", "Peter", "Paul", "Hans",
     "Marie", "Pierre", "Jean", "Juan", "Carlos", "Ana", "Luis", "Klaus", "Ursula", "Sophie", "Lucas", "Emma", "Laura", "Daniel",
 )
-_FIND["name"] = r"(?<![A-Za-z])(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][a-z]++(?![A-Za-z])"
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Mme", "Monsieur")
+_FIND["name"] = (
+    r"(?<!\p{L})(?=\p{Lu})(?:(?:" + "|".join(GIVEN_NAMES) + r")(?:\x20\p{Lu}\p{Ll}++){1,2}+"
+    r"|(?<=\b(?:" + "|".join(TITLES) + r")\.?\x20)\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++){0,2}+)(?!\p{L})"
+)
+#: Area codes of public toll-free numbers.
+TOLL_FREE = ("800", "833", "844", "855", "866", "877", "888")
 _BEFORE = {
     "email": r"(?:e-?mail|contact|write|mailto|correo|courriel)[^a-z]{0,8}$",
     "ip": r"(?:\bip|host|server|address|adresse|client|from)[^a-z]{0,8}$",
     "card": r"(?:card|visa|credit|carte|karte|tarjeta|payment)[^a-z]{0,12}$",
     "phone": r"(?:phone|tel|call|mobile|fax|telefon|móvil)[^a-z]{0,8}$",
     "secret": r"(?:token|key|secret|password|passwd|api|auth)[^a-z]{0,8}$",
-    "name": r"\b(?:mr|mrs|ms|dr|prof|herr|frau|señor|señora|mme|name is|by)\.?[^a-z]{0,3}$",
+    "name": r"\b(?:mr|mrs|ms|dr|prof|herr|frau|señor|señora|mme|monsieur|name is|signed|by)\.?[^a-z]{0,3}$",
+    "tel": r"(?:phone|tel|call|mobile|cell|fax|telefon|móvil)[^a-z]{0,8}$",
 }
 _NOT_BEFORE = r"(?:version|isbn|order|release|build|chapter|page|figure)[^a-z]{0,8}$"
 _NOT_AFTER = r"^\s{0,3}(?:%|kg|km|cm|mm|eur|usd|pages|items)"
@@ -102,7 +116,8 @@ def _votes(kind: str, x: Column, before: Column, after: Column) -> list[Column]:
         "card": (F.length(digits).isin(15, 16), digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))")),
         "phone": (F.length(digits).between(10, 13), digits.rlike(r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")),
         "secret": (x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (F.length(digits) >= 3), x.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-)|^[0-9a-f]{32,}+$")),
-        "name": (F.length(x).between(8, 30), F.split(x, " ")[0].isin(*GIVEN_NAMES)),
+        "name": (F.length(x).between(4, 40), F.split(x, " ")[0].isin(*GIVEN_NAMES)),
+        "tel": (digits.rlike("^[2-9][0-9]{2}[2-9]"), F.startswith(x, F.lit("(")) | F.substring(digits, 1, 3).isin(*TOLL_FREE)),
     }[kind]
     around = F.concat(before, F.lit(" "), after)
     against = before.rlike(_NOT_BEFORE) | after.rlike(_NOT_AFTER)
@@ -192,10 +207,11 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Verdicts:
-    """Probability of each (kind, pattern) that was seen, and the labelers' reliabilities."""
+    """Probability of each (kind, pattern) that was seen, and each kind's prior and labelers' reliabilities."""
 
     probability: dict[tuple[int, int], float]
-    reliability: dict[str, dict[str, float]]
+    reliability: dict[str, dict[str, dict[str, float]]]
+    prior: dict[str, float] | None = None
     threshold: float = 0.5
 
     def accepts(self, kind: int, pattern: Column) -> Column:
@@ -213,48 +229,67 @@ def _unpack(pattern: int) -> tuple[list[int], int]:
     return votes[::-1], length
 
 
-def estimate(counts: dict[tuple[int, int], int], rounds: int = 60) -> Verdicts:
-    """Expectation maximisation over counts of (kind, pattern), then a logistic classifier on its posteriors.
+_Row = tuple[list[int], int, int, int]  # votes (0 against, 1 none, 2 for), length class, count, pattern
+_AGAINST, _FOR = 0, 2
 
-    Votes are independent given the truth; each labeler has one table of vote shares for true and one for false spans,
-    each kind a prior. Candidates of base kinds have passed exact checks and count as true. Plain arithmetic over a table of at most ``len(KINDS) * PATTERNS`` rows, whatever the data.
-    """
-    rows = [(kind, *_unpack(pattern), count, pattern) for (kind, pattern), count in sorted(counts.items())]
-    posterior = [1.0 if kind < BASE else min(max(0.5 + 0.2 * sum(v - 1 for v in votes), 0.05), 0.95) for kind, votes, _, _, _ in rows]
-    prior: dict[int, float] = {}
-    share = [[[1 / 3] * 3, [1 / 3] * 3] for _ in LABELERS]
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(min(x, 30.0), -30.0)))
+
+
+def _expectation_maximisation(rows: list[_Row], rounds: int = 60) -> tuple[list[float], float, list]:
+    """(posterior of each row, prior, share[labeler][truth][vote]) of one kind: votes are independent given the truth."""
+    posterior = [min(max(0.5 + 0.2 * sum(v - 1 for v in votes), 0.05), 0.95) for votes, *_ in rows]
+    prior, share = 0.5, [[[1 / 3] * 3, [1 / 3] * 3] for _ in LABELERS]
     for _ in range(rounds):
-        mass, true = [1.0] * len(KINDS), [0.5] * len(KINDS)
-        votes_of = [[[1.0] * 3, [1.0] * 3] for _ in LABELERS]
-        for (kind, votes, _, count, _), p in zip(rows, posterior, strict=True):
-            mass[kind] += count
-            true[kind] += count * p
-            for table, vote in zip(votes_of, votes, strict=True):
+        mass, true = 2.0, 1.0
+        sums = [[[1.0] * 3, [1.0] * 3] for _ in LABELERS]
+        for (votes, _, count, _), p in zip(rows, posterior, strict=True):
+            mass += count
+            true += count * p
+            for table, vote in zip(sums, votes, strict=True):
                 table[1][vote] += count * p
                 table[0][vote] += count * (1 - p)
-        prior = {k: true[k] / mass[k] for k in range(len(KINDS))}
-        share = [[[x / sum(side) for x in side] for side in table] for table in votes_of]
-        posterior = []
-        for kind, votes, _, _, _ in rows:
-            odds = math.log(prior[kind] / (1 - prior[kind]))
-            odds += sum(math.log(table[1][vote] / table[0][vote]) for table, vote in zip(share, votes, strict=True))
-            posterior.append(1.0 if kind < BASE else 1 / (1 + math.exp(-max(min(odds, 30.0), -30.0))))
-    # the span classifier: kind, votes and length class as indicators
-    features = [[kind, *(len(KINDS) + 3 * k + vote for k, vote in enumerate(votes)), len(KINDS) + 3 * len(LABELERS) + length] for kind, votes, length, _, _ in rows]
-    weights = [0.0] * (len(KINDS) + 3 * len(LABELERS) + 4)
-    total = float(sum(count for *_, count, _ in rows)) or 1.0
-    guess = lambda f: 1 / (1 + math.exp(-max(min(sum(weights[i] for i in f), 30.0), -30.0)))
-    for _ in range(200):
+        prior = true / mass
+        share = [[[x / sum(side) for x in side] for side in table] for table in sums]
+        # what the labelers on the whole speak for is the truth, not its opposite
+        if sum(table[1][_FOR] - table[1][_AGAINST] - table[0][_FOR] + table[0][_AGAINST] for table in share) < 0:
+            share, prior = [table[::-1] for table in share], 1 - prior
+        odds = math.log(prior / (1 - prior))
+        posterior = [_sigmoid(odds + sum(math.log(table[1][vote] / table[0][vote]) for table, vote in zip(share, votes, strict=True))) for votes, *_ in rows]
+    return posterior, prior, share
+
+
+def _classifier(rows: list[_Row], posterior: list[float], steps: int = 300) -> list[float]:
+    """Probability of each row by a logistic classifier of votes and length class, trained on the posteriors."""
+    features = [[*(3 * k + vote for k, vote in enumerate(votes)), 3 * len(LABELERS) + length] for votes, length, *_ in rows]
+    weights = [0.0] * (3 * len(LABELERS) + 4)
+    total = float(sum(row[2] for row in rows))
+    for _ in range(steps):
         slope = [1e-4 * w for w in weights]
-        for own, p, (*_, count, _) in zip(features, posterior, rows, strict=True):
-            error = count / total * (guess(own) - p)
+        for own, p, row in zip(features, posterior, rows, strict=True):
+            error = row[2] / total * (_sigmoid(sum(weights[i] for i in own)) - p)
             for i in own:
                 slope[i] += error
         weights = [w - 2.0 * s for w, s in zip(weights, slope, strict=True)]
-    found = {(row[0], row[4]): guess(own) for row, own in zip(rows, features, strict=True)}
-    names = ("against", "none", "for")
-    reliability = {name: {f"{vote}|{side}": table[y][v] for y, side in ((1, "true"), (0, "false")) for v, vote in enumerate(names)} for name, table in zip(LABELERS, share, strict=True)}
-    return Verdicts(found, reliability)
+    return [_sigmoid(sum(weights[i] for i in own)) for own in features]
+
+
+def estimate(counts: dict[tuple[int, int], int]) -> Verdicts:
+    """Expectation maximisation over counts of (kind, pattern), then a logistic classifier on its posteriors, for each
+    kind on its own. Plain arithmetic over a table of at most ``len(KINDS) * PATTERNS`` rows, whatever the data."""
+    found, reliability, priors = {}, {}, {}
+    for kind, name in enumerate(KINDS):
+        rows = [(*_unpack(pattern), count, pattern) for (k, pattern), count in sorted(counts.items()) if k == kind]
+        if not rows:
+            continue
+        posterior, priors[name], share = _expectation_maximisation(rows)
+        needed = [LABELERS.index(labeler) for labeler in _KNOWN_BY.get(name, ())]
+        for (votes, _, _, pattern), probability in zip(rows, _classifier(rows, posterior), strict=True):
+            found[kind, pattern] = probability if not needed or any(votes[k] == _FOR for k in needed) else 0.0
+        named = (("against", 0), ("none", 1), ("for", 2))
+        reliability[name] = {labeler: {f"{vote}|{side}": table[y][v] for y, side in ((1, "true"), (0, "false")) for vote, v in named} for labeler, table in zip(LABELERS, share, strict=True)}
+    return Verdicts(found, reliability, priors)
 
 
 def learn(found: DataFrame) -> Verdicts:
