@@ -4,7 +4,7 @@
    shared folder, some 100 bytes a document, so that texts are read once for fitting and scoring.
 2. *Fit*: class sizes, means and second moments of all training rows are Spark sums. What reaches the driver is
    2 * (1 + d + d * d) numbers, however many rows there are. Each class covariance is shrunk towards the pooled one and
-   towards a multiple of the unit matrix; its Cholesky factor is computed once and kept in the model.
+   towards a multiple of the unit matrix; its Cholesky factor is computed and inverted once and kept in the model.
 3. *Score*: the difference of the two classes' log-densities (Mahalanobis distances by the kept factors) and the log
    prior ratio give the probability of label 1.
 
@@ -75,18 +75,19 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Two Gaussian classes with their Cholesky factors (of the shrunk covariances) and log prior ratio."""
+    """Two Gaussian classes with their Cholesky factors (of the shrunk covariances), kept inverted (``whiten``), and log
+    prior ratio."""
 
     means: tuple[np.ndarray, np.ndarray]
-    factors: tuple[np.ndarray, np.ndarray]
+    whiten: tuple[np.ndarray, np.ndarray]
     log_prior_ratio: float
 
     def log_density_difference(self, x: np.ndarray) -> np.ndarray:
         """log p(x | 1) - log p(x | 0) for the rows of ``x``."""
         parts = []
-        for mean, factor in zip(self.means, self.factors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            parts.append(-0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for mean, whiten in zip(self.means, self.whiten, strict=True):
+            z = (x - mean) @ whiten.T
+            parts.append(-0.5 * (z * z).sum(axis=1) + np.log(np.diag(whiten)).sum())
         return parts[1] - parts[0]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -103,13 +104,13 @@ def shrink(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled:
     means = [sums[c] / counts[c] if counts[c] else (sums.sum(0) / total if total else np.zeros(d)) for c in (0, 1)]
     covs = [squares[c] / counts[c] - np.outer(means[c], means[c]) if counts[c] else np.zeros((d, d)) for c in (0, 1)]
     pooled = sum(n * cov for n, cov in zip(counts, covs, strict=True)) / max(total, 1.0)
-    factors = []
+    whiten = []
     for cov in covs:
         shrunk = (1 - to_pooled) * cov + to_pooled * pooled
         shrunk = (1 - to_unit) * shrunk + (to_unit * max(np.trace(shrunk) / d, 0.0) + 1e-9) * np.eye(d)
-        factors.append(np.linalg.cholesky((shrunk + shrunk.T) / 2))
+        whiten.append(np.linalg.inv(np.linalg.cholesky((shrunk + shrunk.T) / 2)))
     prior = float(np.log((counts[1] + 1) / (counts[0] + 1)))
-    return Discriminant((means[0], means[1]), (factors[0], factors[1]), prior)
+    return Discriminant((means[0], means[1]), (whiten[0], whiten[1]), prior)
 
 
 def fit(stats: DataFrame, labels: DataFrame, training: Column, to_pooled: float = 0.05, to_unit: float = 0.002) -> Discriminant:
