@@ -8,11 +8,12 @@ most ``eps`` apart.
    matrix make the grid's axes.
 3. *Order*: classes are sorted by label and grid cells of side ``eps`` on those axes, by range partitions (a label that
    holds most rows is cut like any other), and cut into intervals of at most ``interval`` rows, each with its box.
-4. *Interval join*: intervals meet only where their boxes are at most ``eps`` apart in the projection, which can only
-   shrink distances, so a skipped pair of intervals is provably distant. Interval boxes find each other by label and
-   the cells that their boxes reach on the first axis.
-5. *Recursion*: two meeting intervals are halved again and again, and halves whose boxes are too far apart are skipped;
-   what is left is compared exactly, in double precision. A task gives link counts and a spanning forest.
+4. *Interval join*: the sequence is joined with itself recursively. Runs of intervals meet first, then, level by level,
+   the parts of those whose boxes are at most ``eps`` apart on all axes of the projection, down to single intervals. A
+   projection can only shrink distances, so a skipped pair is provably distant.
+5. *Recursion*: pairs of intervals from the same two runs share a task, to which each interval is sent once. Two
+   meeting intervals are halved again and again, and halves whose boxes are too far apart are skipped; what is left is
+   compared exactly, in double precision. A task gives link counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -24,20 +25,26 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.llm.vectors import doubles, usable
 from quillgraph.operators.components import star_components
-from quillgraph.storage import materialize
+from quillgraph.storage import discard, materialize
 
 AXES = 8
 LEAF = 64
+#: A run of intervals, and a run of runs, has up to 2 ** FAN parts.
+FAN = 3
 
 
 def _directions(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of extreme components stay finite
+    return _normed(np.array(vectors.tolist(), dtype=np.float64))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of extreme components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -66,7 +73,7 @@ def principal_axes(classes: DataFrame, count: int = AXES) -> dict[int, np.ndarra
     return axes
 
 
-def _project(frames: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], eps: float) -> Iterator[pd.DataFrame]:
+def _project(frames: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], eps: float, kind: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
         widths = frame["v"].map(len)
         for width, own in frame.groupby(widths):
@@ -74,7 +81,7 @@ def _project(frames: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], eps: f
             p = x @ axes[width]
             yield pd.DataFrame({
                 "cls": own["cls"], "label": own["label"], "n": own["n"], "width": width,
-                "cells": list(np.floor(p / eps).astype(np.int32)), "p": list(p), "x": [row.tobytes() for row in x],
+                "cells": list(np.floor(p / eps).astype(np.int32)), "p": list(p), "x": [row.tobytes() for row in np.array(own["v"].tolist(), dtype=kind)],
             })
 
 
@@ -156,26 +163,62 @@ def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def _join_pairs(frames: Iterator[pd.DataFrame], eps: float, cosine: float) -> Iterator[pd.DataFrame]:
-    """Per pair of intervals: counts (other null) and edges (links null)."""
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            same, width = row.block == row.block2, int(row.width)
-            first, second = np.asarray(row.cls, dtype=np.int64), np.asarray(row.cls2, dtype=np.int64)
-            x, y = (np.frombuffer(raw, dtype="<f8").reshape(-1, width) for raw in (row.x, row.x2))
-            p, q = (np.frombuffer(raw, dtype="<f8").reshape(len(k), -1) for raw, k in ((row.p, first), (row.p2, second)))
-            out: list = []
-            _recurse(x, y, p, q, same, eps, cosine, out)
-            if not out:
-                continue
-            a, b = np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-            n, m = np.asarray(row.n, dtype=np.int64), np.asarray(row.n2, dtype=np.int64)
-            counts = [(first, np.bincount(a, weights=m[b], minlength=len(first))), (second, np.bincount(b, weights=n[a], minlength=len(second)))]
-            for ids, links in counts:
-                some = np.flatnonzero(links)
-                yield pd.DataFrame({"src": ids[some], "dst": ids[some], "links": links[some].astype(np.int64)})
-            keep = _spanning(a, b + (0 if same else len(first)), len(first) + (0 if same else len(second)))
-            yield pd.DataFrame({"src": first[a[keep]], "dst": second[b[keep]], "links": np.zeros(len(keep), dtype=np.int64)})
+def _join_group(pairs: pd.DataFrame, intervals: pd.DataFrame, eps: float, cosine: float, kind: str) -> pd.DataFrame:
+    """Of the pairs of intervals in a group: link counts (src = dst) and edges (links 0)."""
+    held = {}
+    for row in intervals.itertuples(index=False):
+        classes = np.asarray(row.cls, dtype=np.int64)
+        x = _normed(np.frombuffer(row.x, dtype=kind).reshape(len(classes), -1).astype(np.float64))
+        held[row.block] = classes, np.asarray(row.n, dtype=np.int64), np.frombuffer(row.p, dtype="<f8").reshape(len(classes), -1), x
+    out = [np.zeros((0, 3), dtype=np.int64)]
+    for block, block2 in zip(pairs["block"], pairs["block2"], strict=True):
+        same, found = block == block2, []
+        (first, n, p, x), (second, m, q, y) = held[block], held[block2]
+        _recurse(x, y, p, q, same, eps, cosine, found)
+        if not found:
+            continue
+        a, b = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        for ids, links in ((first, np.bincount(a, weights=m[b], minlength=len(first))), (second, np.bincount(b, weights=n[a], minlength=len(second)))):
+            some = np.flatnonzero(links)
+            out.append(np.column_stack((ids[some], ids[some], links[some].astype(np.int64))))
+        keep = _spanning(a, b + (0 if same else len(first)), len(first) + (0 if same else len(second)))
+        out.append(np.column_stack((first[a[keep]], second[b[keep]], np.zeros(len(keep), dtype=np.int64))))
+    return pd.DataFrame(np.concatenate(out), columns=["src", "dst", "links"])
+
+
+def _near(eps: float) -> Column:
+    """Whether the boxes low0.., high0.. and low20.., high20.. are at most ``eps`` apart; axes that are not there are null."""
+    gaps = [F.greatest(F.col(f"low{k}") - F.col(f"high2{k}"), F.col(f"low2{k}") - F.col(f"high{k}"), F.lit(0.0)) for k in range(AXES)]
+    return sum((g * g for g in gaps), F.lit(0.0)) <= eps * eps
+
+
+def meeting_intervals(blocks: DataFrame, eps: float) -> DataFrame:
+    """(block, block2, pair_group) of the intervals of one label and width whose boxes are at most ``eps`` apart: a written
+    table. The sequence is cut in runs of runs of intervals; only parts of runs that meet can meet."""
+    most = blocks.agg(F.max(F.shiftright("block", 32)).alias("part"), F.max(F.col("block").bitwiseAND((1 << 32) - 1)).alias("number")).first()
+    bits = int(most["number"] or 0).bit_length()
+    levels = -(-(bits + int(most["part"] or 0).bit_length()) // FAN)
+    place = F.shiftleft(F.shiftright("block", 32), bits) + F.col("block").bitwiseAND((1 << 32) - 1)
+    ends = [f"{end}{k}" for end in ("low", "high") for k in range(AXES)]
+    boxes = materialize(blocks.select("label", "width", "block", place.alias("place"), *(F.get(end, F.lit(k)).alias(f"{end}{k}") for end in ("low", "high") for k in range(AXES))), "boxes")
+
+    def runs(level: int) -> DataFrame:
+        """label, width, run, up (the run of the level above) and box."""
+        placed = boxes.withColumn("run", F.shiftright("place", FAN * level)).withColumn("up", F.shiftright("place", FAN * (level + 1)))
+        if not level:
+            return placed.drop("place")
+        return placed.groupBy("label", "width", "run", "up").agg(*((F.min if end.startswith("low") else F.max)(end).alias(end) for end in ends))
+
+    pairs = runs(levels).select("label", "width", "run", F.col("run").alias("run2"))  # one run for each label and width
+    for level in range(levels - 1, -1, -1):
+        own = runs(level).withColumnsRenamed({"run": "part", "up": "run"})
+        other = own.select("label", "width", F.col("run").alias("run2"), F.col("part").alias("part2"), *(F.col(end).alias(end[:-1] + "2" + end[-1]) for end in ends), *([F.col("block").alias("block2")] if not level else []))
+        met = pairs.join(own, ["label", "width", "run"]).join(other, ["label", "width", "run2"]).where((F.col("part") <= F.col("part2")) & _near(eps))
+        if level:
+            pairs = materialize(met.select("label", "width", F.col("part").alias("run"), F.col("part2").alias("run2")), "runs")
+    if not levels:
+        met = boxes.withColumn("block2", F.col("block")).withColumns({"run": F.lit(0), "run2": F.lit(0)})
+    return materialize(met.select("block", "block2", F.xxhash64("label", "width", "run", "run2").alias("pair_group")), "meeting")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, interval: int = 512) -> DataFrame:
@@ -195,8 +238,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, interval: int = 51
     classes = able.where("able").groupBy("label", "v", "cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
     classes = materialize(classes, "vector_classes")
     axes = principal_axes(classes)
+    came = vectors.schema["embedding"].dataType
+    kind = "<f4" if isinstance(came, T.ArrayType) and isinstance(came.elementType, T.FloatType) else "<f8"  # vectors travel as they came
     placed = classes.select("cls", F.xxhash64("label").alias("label"), "n", "v").mapInPandas(
-        partial(_project, axes=axes, eps=eps), "cls long, label long, n long, width int, cells array<int>, p array<double>, x binary"
+        partial(_project, axes=axes, eps=eps, kind=kind), "cls long, label long, n long, width int, cells array<int>, p array<double>, x binary"
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "label", "width", "cells", "cls").sortWithinPartitions("label", "width", "cells", "cls")
@@ -207,23 +252,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, interval: int = 51
         ),
         "intervals",
     )
-    # boxes that may meet: by label and a cell of side eps that both reach on the first axis, met once
-    cell = lambda at: F.floor(at / F.lit(eps)).cast("int")
-    boxes = blocks.select("block", "label", "width", "low", "high")
-    reach = boxes.withColumn("c", F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]) + 1)))
-    others = reach.select("label", "width", "c", *(F.col(k).alias(f"{k}2") for k in ("block", "low", "high")))
-    gap = F.aggregate(
-        F.zip_with(
-            F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))
-        ),
-        F.lit(0.0),
-        lambda total, g: total + g * g,
-    )
-    pairs = reach.join(others, ["label", "width", "c"]).where((F.col("block") <= F.col("block2")) & (gap <= eps * eps)).select("block", "block2").distinct()
-    payload = blocks.select("block", "width", "cls", "n", "p", "x")
-    second = payload.select(*(F.col(k).alias(f"{k}2") for k in ("block", "cls", "n", "p", "x")))
-    met = pairs.join(payload, "block").join(second, "block2")
-    links = materialize(met.mapInPandas(partial(_join_pairs, eps=eps, cosine=cosine), "src long, dst long, links long"), "vector_links")
+    pairs = meeting_intervals(blocks, eps)
+    wanted = pairs.select(F.col("pair_group").alias("g"), F.explode(F.array("block", "block2")).alias("block")).distinct()
+    sent = wanted.join(blocks.select("block", "cls", "n", "p", "x"), "block")
+    joined = pairs.groupBy("pair_group").cogroup(sent.groupBy("g")).applyInPandas(lambda a, b: _join_group(a, b, eps, cosine, kind), "src long, dst long, links long")
+    links = materialize(joined, "vector_links")
+    discard(blocks, pairs)
     counts = links.where("src = dst").groupBy("src").agg(F.sum("links").alias("links"))
     labels = star_components(links.where("src <> dst").select("src", "dst"))
     known = classes.select("cls", "first_id", "n").join(counts, F.col("cls") == F.col("src"), "left").join(labels, F.col("cls") == F.col("node"), "left")
