@@ -4,10 +4,11 @@
    blocks of about ``block_chars`` characters. A block knows each distinct word once, most frequent first; a text is
    then the list of its words' numbers, in order of position.
 2. *Shuffle the distinct words*: each block deals its distinct words into ``BUCKETS`` by a checksum of the word. A
-   bucket gathers the words of up to ``salt_blocks`` blocks, encodes each distinct word once, joins the ids with the
-   token-byte table to decode them again, and answers every block. Frequent words cannot gather: a block sends a word
-   once, however often it occurs.
-3. *Join back*: answers and the block's word numbers meet by block id, and texts are reassembled by position.
+   bucket gathers the words of up to ``salt_blocks`` blocks, encodes each distinct word once, and answers every block.
+   Frequent words cannot gather: a block sends a word once, however often it occurs.
+3. *Join back*: answers and the block's word numbers meet by block id, and ids are reassembled by position.
+4. *Decode*: the emitted ids of a text are joined with the token-byte table, which is broadcast (its size is that of the
+   vocabulary, whatever the data), and the bytes are put together by position.
 
 Both sides of the last join cut the same scan into the same blocks, so neither texts nor word numbers need to be
 written in between; a checksum of each block's words travels with the answers and a mismatch raises. The input must
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,7 +140,7 @@ def _word_rows(frames: Iterator[pd.DataFrame], block_chars: int) -> Iterator[pd.
         yield pd.DataFrame(rows, columns=_WORDS.names)
 
 
-_ANSWERS = _schema("block long, check long, bucket int, n int, n_ids int, lengths binary, ids binary, sizes binary, size long, decoded binary")
+_ANSWERS = _schema("block long, check long, bucket int, n int, n_ids int, lengths binary, ids binary")
 
 _library: dict = {}
 
@@ -168,7 +169,7 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def _encode_bucket(frame: pd.DataFrame, path: str) -> pd.DataFrame:
-    """All rows of one bucket and salt: each distinct word is encoded and decoded once."""
+    """All rows of one bucket and salt: each distinct word is encoded once."""
     numbers, asked = _Numbering(), []
     for n, size, lengths, words in zip(frame["n"], frame["size"], frame["lengths"], frame["words"], strict=True):
         ends = np.cumsum(_read_numbers(lengths, n)).tolist()
@@ -178,16 +179,12 @@ def _encode_bucket(frame: pd.DataFrame, path: str) -> pd.DataFrame:
             begin = end
         asked.append(own)
     ids = encode_words([w.decode() for w in numbers], path)
-    table = token_bytes(path)
     packed = [np.array(x, dtype="<u4").tobytes() for x in ids]
-    decoded = [b"".join([table[i] for i in x]) for x in ids]
     rows = []
     for block, check, bucket, own in zip(frame["block"], frame["check"], frame["bucket"], asked, strict=True):
         all_ids = np.frombuffer(b"".join([packed[i] for i in own]), dtype="<u4")
-        texts = [decoded[i] for i in own]
-        joined = b"".join(texts)
         lengths = np.array([len(ids[i]) for i in own])
-        rows.append((block, check, bucket, len(own), len(all_ids), _numbers(lengths), _numbers(all_ids), _numbers(np.array([len(x) for x in texts])), len(joined), _pack(joined)))
+        rows.append((block, check, bucket, len(own), len(all_ids), _numbers(lengths), _numbers(all_ids)))
     return pd.DataFrame(rows, columns=_ANSWERS.names)
 
 
@@ -204,7 +201,7 @@ def _code_rows(frames: Iterator[pd.DataFrame], block_chars: int) -> Iterator[pd.
         yield pd.DataFrame(rows, columns=_CODES.names)
 
 
-_ENCODED = _schema("doc_id string, ids binary, decoded binary")
+_ENCODED = _schema("doc_id string, ids binary")
 
 
 def _reassemble(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -213,31 +210,28 @@ def _reassemble(codes: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         raise RuntimeError("the scan gave other rows when it was repeated; write the input to a table first")
     n = int(codes.loc[head, "n"].iloc[0])
     buckets = np.frombuffer(_unpack(codes.loc[head, "codes"].iloc[0], n), dtype=np.uint8)
-    ids, texts = [b""] * n, [b""] * n
+    ids = [b""] * n
     answered = 0
     for row in answers.itertuples(index=False):
         places = np.flatnonzero(buckets == row.bucket).tolist()
         answered += row.n
-        all_ids, all_text = _read_numbers(row.ids, row.n_ids).tobytes(), _unpack(row.decoded, int(row.size))
-        at = begin = 0
-        for place, to, end in zip(places, (4 * np.cumsum(_read_numbers(row.lengths, row.n))).tolist(), np.cumsum(_read_numbers(row.sizes, row.n)).tolist(), strict=True):
-            ids[place], texts[place] = all_ids[at:to], all_text[begin:end]
-            at, begin = to, end
+        all_ids, at = _read_numbers(row.ids, row.n_ids).tobytes(), 0
+        for place, to in zip(places, (4 * np.cumsum(_read_numbers(row.lengths, row.n))).tolist(), strict=True):
+            ids[place] = all_ids[at:to]
+            at = to
     if answered != n:
         raise RuntimeError("words of a block were not answered")
-    out_ids, out_texts = [], []
+    out_ids = []
     rest = codes[~head]
     for count, raw in zip(rest["n"], rest["codes"], strict=True):
-        own = _read_numbers(raw, int(count)).tolist()
-        out_ids.append(b"".join(map(ids.__getitem__, own)))
-        out_texts.append(b"".join(map(texts.__getitem__, own)))
-    return pd.DataFrame({"doc_id": rest["doc_id"], "ids": out_ids, "decoded": out_texts})
+        out_ids.append(b"".join(map(ids.__getitem__, _read_numbers(raw, int(count)).tolist())))
+    return pd.DataFrame({"doc_id": rest["doc_id"], "ids": out_ids})
 
 
 def encode(docs: DataFrame, ranks_path: str, block_chars: int = BLOCK_CHARS, salt_blocks: int = 1024) -> DataFrame:
-    """Encode the texts of ``docs`` (doc_id, text) and decode them again.
+    """Encode the texts of ``docs`` (doc_id, text).
 
-    One row per row: doc_id, ``ids`` (little-endian unsigned 32-bit), ``decoded`` (bytes). Each match of the pattern is
+    One row per row: doc_id, ``ids`` (little-endian unsigned 32-bit). Each match of the pattern is
     encoded separately, without special tokens. A null text is empty; an empty one has no ids; a null doc_id is kept;
     repeated rows are encoded each; an empty table gives no rows; other columns are ignored. A text longer than a block
     is a block of its own.
@@ -251,16 +245,36 @@ def encode(docs: DataFrame, ranks_path: str, block_chars: int = BLOCK_CHARS, sal
     return codes.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_reassemble, _ENCODED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """id, token (bytes): as many rows as the vocabulary has, so it may be broadcast."""
-    return spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(token_bytes(ranks_path))], "id int, token binary")
+class TokenTable:
+    """The token-byte table as one run of bytes, and where each id's bytes begin and how many they are."""
+
+    def __init__(self, path: str) -> None:
+        tokens = token_bytes(path)
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int32)
+        self.begins = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.raw = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of ``ids`` in order. An id outside of the vocabulary raises."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        return self.raw[at + np.arange(len(at))].tobytes()
+
+
+def _decode(frames: Iterator[pd.DataFrame], table, slice_: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        decoded = []
+        for raw in frame["ids"]:
+            ids = np.frombuffer(raw or b"", dtype="<u4")
+            decoded.append(b"".join(table.value.joined(ids[at : at + slice_]) for at in range(0, len(ids), slice_)))
+        yield frame.assign(decoded=decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` (key, ids array<int>) -> key, decoded (bytes): a join of the exploded ids with the token-byte table,
-    reassembled by position. Keys must be unique; an empty or null list decodes to no bytes."""
-    tokens = F.broadcast(token_table(encoded.sparkSession, ranks_path))
-    parts = encoded.select("key", F.posexplode_outer("ids").alias("pos", "id")).join(tokens, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))))
-    joined = F.aggregate(ordered, F.lit(b""), lambda whole, part: F.concat(whole, part["token"]))
-    return parts.groupBy("key").agg(joined.alias("decoded"))
+    """``encoded`` (doc_id, ids) with ``decoded``, the bytes of its ids by the token-byte table. Null or empty ids give no
+    bytes; an id outside of the vocabulary raises; rows are decoded each, and other columns are left out."""
+    table = encoded.sparkSession.sparkContext.broadcast(TokenTable(ranks_path))
+    # ids that may be null are not sent through pandas as numbers
+    rows = encoded.select(F.col("doc_id").cast("string"), "ids").mapInPandas(partial(_decode, table=table), "doc_id string, ids binary, decoded binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(encoded.schema["doc_id"].dataType))
