@@ -8,7 +8,7 @@ the formatted text; each turn is formatted on its own, so a tokenizer may be app
 2. *Segments*: leaves are dealt by their first turn; a first turn that more than ``most`` leaves share is dealt on by the
    next turn, and so on. Nodes above the cut are *trunk* nodes with a segment of their own each; so are all nodes of a
    leaf that ends there.
-3. *Depth-first emission*: within a segment, leaves are sorted by path; each emits the nodes that it does not share with
+3. *Depth-first emission*: small segments go to a task together; within a segment, leaves are sorted by path; each emits the nodes that it does not share with
    the one before. Every node, and so every shared turn, is emitted once in the whole output.
 4. Each node has its place (segment, start, end), the position id of its first symbol (the length of its ancestors), the
    places of its ancestors as merged attention intervals, and the part of it that is under the loss mask (an
@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.storage import materialize
+from quillgraph.storage import discard, materialize
 
 TURN = re.compile(r"<turn:((?:\\.|[^\\>])*+)>((?:\\.|[^\\<])*+)</turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -89,12 +90,13 @@ def _joined(places: list[tuple], place: tuple) -> list[tuple]:
 
 
 def _emit(frame: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one segment, depth-first. Nodes above the cut are emitted for their own segments by every segment that
-    needs them; equal rows are dropped afterwards."""
-    frame = frame.sort_values("path", key=lambda paths: paths.map(tuple))
-    segment, cut = frame["segment"].iloc[0], int(frame["cut"].iloc[0])
-    rows, at, before, state = [], 0, [], []
-    for path, texts, low, high in zip(frame["path"], frame["texts"], frame["low"], frame["high"], strict=True):
+    """Nodes of some whole segments, depth-first. Nodes above the cut are emitted for their own segments by every segment
+    that needs them; equal rows are dropped afterwards."""
+    rows, now, at, before, state = [], None, 0, [], []
+    leaves = zip(frame["segment"], map(list, frame["path"]), frame["cut"], frame["texts"], frame["low"], frame["high"], strict=True)
+    for segment, path, cut, texts, low, high in sorted(leaves, key=lambda leaf: leaf[:2]):
+        if segment != now:
+            now, at, before, state = segment, 0, [], []
         shared = 0
         while shared < min(len(path), len(before)) and path[shared] == before[shared]:
             shared += 1
@@ -113,7 +115,14 @@ def _emit(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "parent", "segment", "start", "stop", "depth", "position", "text", "mask_start", "mask_stop", "ancestors"])
 
 
-def prefix_trees(turns: DataFrame, most: int = 2048) -> tuple[DataFrame, DataFrame]:
+def _bucket(segment: str, rows: DataFrame, size: int) -> Column:
+    """Deals segments into buckets of about ``size`` rows of the written table ``rows``: a task calls Python once for
+    many small segments."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(segment), F.lit(max(parts, -(-rows.count() // size))))
+
+
+def prefix_trees(turns: DataFrame, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """(nodes, conversations) of ``turns`` (conv_id, turn, role, text), both written tables.
 
     nodes: node, parent, segment, start, stop, depth, position, text (formatted), mask_start, mask_stop (in the node),
@@ -139,24 +148,32 @@ def prefix_trees(turns: DataFrame, most: int = 2048) -> tuple[DataFrame, DataFra
         # a leaf that ends above the cut has trunk nodes only, as its longer siblings have them, so any part may emit it
         key = F.coalesce(F.get("path", F.lit(depth)), F.concat_ws(".", "leaf", F.lit(depth)))
         part = F.pmod(F.xxhash64(key), F.col("deals"))
-        dealt = materialize(
+        before, dealt = dealt, materialize(
             sized.withColumns({"cut": F.when(again, depth).otherwise(F.col("cut")), "segment": F.when(again, F.concat_ws(".", "segment", part.cast("string"))).otherwise(F.col("segment"))}).drop("deals"),
             "chat_leaves",
         )
-    nodes = materialize(dealt.groupBy("segment").applyInPandas(_emit, _NODES).dropDuplicates(["node"]), "chat_nodes")
+        discard(before)
+    emitted = dealt.withColumn("bucket", _bucket("segment", dealt, 1024)).groupBy("bucket").applyInPandas(_emit, _NODES)
+    nodes = materialize(emitted.dropDuplicates(["node"]), "chat_nodes")
+    discard(dealt)
     return nodes, paths.select(F.col("conv_id").cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.size("path").cast("long").alias("n_turns"), "leaf")
 
 
 def _slices(requests: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-    """Texts of intervals of one segment, with the loss masks in them."""
-    nodes = nodes.sort_values("start")
-    stream = "".join(nodes["text"])
-    starts = nodes["start"].tolist()
-    masks = [(s + a, s + b) for s, a, b in zip(starts, nodes["mask_start"], nodes["mask_stop"], strict=True)]
+    """Texts of intervals of some whole segments, with the loss masks in them."""
+    streams: dict[str, tuple[list, list, list]] = {}  # segment -> texts in order, begins and ends of its masks
+    for segment, start, text, a, b in sorted(zip(nodes["segment"], nodes["start"], nodes["text"], nodes["mask_start"], nodes["mask_stop"], strict=True)):
+        texts, begins, ends = streams.setdefault(segment, ([], [], []))
+        texts.append(text)
+        if a < b:
+            begins.append(start + a)
+            ends.append(start + b)
+    whole = {segment: ("".join(texts), begins, ends) for segment, (texts, begins, ends) in streams.items()}
     rows = []
-    for leaf, order, start, stop in zip(requests["leaf"], requests["k"], requests["a"], requests["b"], strict=True):
-        own = [{"a": max(a, start) - start, "b": min(b, stop) - start} for a, b in masks if start <= a < b <= stop]
-        rows.append((leaf, order, stream[start:stop], own))
+    for leaf, order, segment, start, stop in zip(requests["leaf"], requests["k"], requests["at"], requests["a"], requests["b"], strict=True):
+        stream, begins, ends = whole[segment]
+        first, last = bisect_left(begins, start), bisect_right(ends, stop)
+        rows.append((leaf, order, stream[start:stop], [{"a": begins[m] - start, "b": ends[m] - start} for m in range(first, last)]))
     return pd.DataFrame(rows, columns=["leaf", "k", "text", "masks"])
 
 
@@ -171,7 +188,8 @@ def _read(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     # a trunk node is taken whole: a plain join, whose hot keys can be split
     of_trunk = wanted.join(trunk.select(F.col("segment").alias("at"), "text", F.coalesce(mask, none).alias("masks")), "at").select("leaf", "k", "text", "masks")
     rest = nodes.where("segment <> node").select("segment", "start", "text", "mask_start", "mask_stop")
-    in_segments = wanted.join(trunk.select(F.col("segment").alias("at")), "at", "left_anti").groupBy("at").cogroup(rest.groupBy("segment")).applyInPandas(_slices, _PIECE)
+    asked = wanted.join(trunk.select(F.col("segment").alias("at")), "at", "left_anti").withColumn("bucket", _bucket("at", nodes, 4096))
+    in_segments = asked.groupBy("bucket").cogroup(rest.withColumn("bucket", _bucket("segment", nodes, 4096)).groupBy("bucket")).applyInPandas(_slices, _PIECE)
     return of_trunk.unionByName(in_segments).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "text", "masks"))).alias("pieces"))
 
 
