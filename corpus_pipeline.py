@@ -13,7 +13,9 @@ from quillgraph.storage import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Texts are read twice, to fit and to score, and never shuffled."""
+    """Documents that the quality classifier accepts: each row by its own text, null and empty ones and repeated rows
+    too. Labels of documents that are not there, null labels, and none at all are allowed. Texts are read twice, to fit
+    and to score, and never shuffled."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(quality.with_statistics(docs.select("doc_id", "text")), labels, ~quality.held_out())
     scored = quality.score(quality.with_statistics(docs.withColumn("_text", F.col("text")), "_text"), model)
@@ -21,17 +23,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group; of rows that repeat its doc_id, one. Documents
-    without a doc_id stay: no group can name them."""
-    classes = ngram_classes(docs)
-    first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    chosen = docs.join(first.where("_rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(first.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each near-duplicate group: the one with the least doc_id (none comes last), then the least key. Rows are
+    known by a key over doc_id and text, so rows that share a doc_id are judged by their own texts. Of rows that agree
+    in both, the least by all columns stays; texts without words are in no group and all stay."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    classes = ngram_classes(keyed.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    classes = classes.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")).join(classes, "_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "rows")).alias("w"))
+    first = materialize(first.select("w._key", "w.rows"), "kept")
+    chosen = keyed.join(first.where("rows = 1"), "_key", "left_semi").select(*docs.columns)
+    repeated = keyed.join(first.where("rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return chosen.unionByName(repeated).unionByName(wordless)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their personal data replaced; n_chars follows the text."""
+    """Documents with their personal data replaced; n_chars follows the text where it changes. Null texts stay null."""
     verdicts = pii.learn(materialize(pii.candidates(docs.select("text")), "pii_candidates"))
     out = pii.redact(docs.withColumn("_before", F.col("text")), verdicts)
     changed = F.col("text") != F.col("_before")
@@ -39,7 +47,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: pieces of documents with their place."""
+    """Training sequences: pieces of documents with their place. A null text is empty (its one token is the end id), a null
+    doc_id is kept, and repeated rows are packed each."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2)
 
 
