@@ -2,7 +2,7 @@
 
 Each round is a set operation on a snapshot: every vertex looks at its strongest neighbour (*vote*), undecided vertices
 give their weight to that neighbour's root (*tally*), and vertices become seeds or join one (*mark*). States: U
-undecided, S seed, D decided, R root of a closed aggregate. Ties go to the larger neighbour id.
+undecided, S seed, D decided, R root of a closed aggregate, N decided but open to be joined (neighbours of neighbours). Ties go to the larger neighbour id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.operators import linalg
 from quillgraph.operators.graph import conductance_ratio
-from quillgraph.storage import discard, materialize
+from quillgraph.storage import discard, materialize, measured
 
 
 def initial(ids: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def vote(strength: DataFrame, states: DataFrame, threshold: float) -> DataFrame:
     """(i, prio, weight, j, ind): the best neighbour: open seeds above the threshold, then undecided ones, then others;
     within those the strongest."""
     met = strength.join(states.select(F.col("i").alias("j"), "ind", "state"), "j")
-    prio = F.when((F.col("state") == "S") & (F.col("v") > threshold), 2).when(F.col("state") == "U", 1).otherwise(0)
+    prio = F.when(F.col("state").isin("S", "N") & (F.col("v") > threshold), 2).when(F.col("state") == "U", 1).otherwise(0)
     best = met.groupBy("i").agg(F.max(F.struct(prio.alias("prio"), F.col("v").alias("weight"), "j", "ind")).alias("b"))
     return best.select("i", "b.*")
 
@@ -38,7 +38,7 @@ def tally(states: DataFrame, votes: DataFrame, threshold: float) -> tuple[DataFr
     return voting_for, states.select("i", "votes").join(given, "i", "left").select("i", (F.col("votes") + F.coalesce("given", F.lit(0.0))).alias("votes"))
 
 
-def mark(states: DataFrame, votes: DataFrame, voting_for: DataFrame, totals: DataFrame, column_sums: DataFrame, first: bool, votes_to_seed: float = 1.0, max_size: int = -1) -> DataFrame:
+def mark(states: DataFrame, votes: DataFrame, voting_for: DataFrame, totals: DataFrame, column_sums: DataFrame, first: bool, votes_to_seed: float = 1.0, max_size: int = -1, spread: bool = False) -> DataFrame:
     """The states after a round. Only in the first one do two vertices that vote for each other pair up, the smaller id
     as seed."""
     back = voting_for.select(F.col("i").alias("target"), F.col("target").alias("i")).where(F.lit(first))
@@ -49,14 +49,14 @@ def mark(states: DataFrame, votes: DataFrame, voting_for: DataFrame, totals: Dat
     joins, seeds = F.col("prio") == 2, F.col("votes") >= F.lit(votes_to_seed) * F.col("sum")
     ind = F.when(s != "U", F.col("ind")).when(partner.isNotNull(), F.least(i, partner)).when(joins, F.col("seen")).when(seeds, i).otherwise(F.col("ind"))
     closed = F.when(F.col("votes") > max_size, "R").otherwise("S")
-    state = F.when(s.isin("D", "R"), s).when(s == "S", closed).when(partner.isNotNull(), F.when(i < partner, "S").otherwise("D")).when(joins, "D").when(seeds, "S").otherwise(s)
+    state = F.when(s.isin("D", "R", "N"), s).when(s == "S", closed).when(partner.isNotNull(), F.when(i < partner, "S").otherwise("D")).when(joins, "N" if spread else "D").when(seeds, "S").otherwise(s)
     return all_.select("i", ind.alias("ind"), state.alias("state"), "votes")
 
 
-def one_round(strength: DataFrame, column_sums: DataFrame, states: DataFrame, number: int, threshold: float, votes_to_seed: float = 1.0, max_size: int = -1) -> DataFrame:
+def one_round(strength: DataFrame, column_sums: DataFrame, states: DataFrame, number: int, threshold: float, votes_to_seed: float = 1.0, max_size: int = -1, spread: bool = False) -> DataFrame:
     votes = vote(strength, states, threshold)
     voting_for, totals = tally(states, votes, threshold)
-    return mark(states, votes, voting_for, totals, column_sums, number == 0, votes_to_seed, max_size)
+    return mark(states, votes, voting_for, totals, column_sums, number == 0, votes_to_seed, max_size, spread)
 
 
 def reject_large(states: DataFrame, strength: DataFrame, max_size: int) -> DataFrame:
@@ -76,24 +76,29 @@ def reject_large(states: DataFrame, strength: DataFrame, max_size: int) -> DataF
 def reject_loose(states: DataFrame, adj: DataFrame, ratio: float, to_seed: bool = False) -> DataFrame:
     """Decided vertices with more than ``ratio`` times as much edge weight outside of their aggregate as inside leave."""
     loose = conductance_ratio(adj, states.select("i", F.col("ind").alias("agg"))).where(F.col("ratio") > ratio).select("i", F.lit(True).alias("loose"))
-    leaves = (F.col("state") == "D") & F.coalesce("loose", F.lit(False))
+    leaves = F.col("state").isin("D", "N") & F.coalesce("loose", F.lit(False))
     all_ = states.join(loose, "i", "left")
     return all_.select("i", F.when(leaves, F.col("i")).otherwise(F.col("ind")).alias("ind"), F.when(leaves, "S" if to_seed else "U").otherwise(F.col("state")).alias("state"), "votes")
 
 
 def aggregate(strength: DataFrame, ids: DataFrame, rounds: int = 10, init_factor: float = 0.5, iter_factor: float = 0.5, votes_to_seed: float = 1.0,
-              max_size: int = -1, adj: DataFrame | None = None, rejection_ratio: float = -1.0) -> DataFrame:
-    """States after all rounds, a written table. ``strength`` must be cheap to read again (written)."""
+              max_size: int = -1, adj: DataFrame | None = None, rejection_ratio: float = -1.0, rejection_to_seed: bool = False, spread: bool = False) -> DataFrame:
+    """States after all rounds, a written table; rounds that could change nothing are left out. ``strength`` must be cheap
+    to read again (written). ``spread``: those who join a seed may be joined in turn."""
     sums = materialize(linalg.reduce_columns(strength), "column_sums")
     states = materialize(initial(ids), "states")
     for k in range(rounds):
-        after = one_round(strength, sums, states, k, init_factor * iter_factor**k, votes_to_seed, max_size)
+        after = one_round(strength, sums, states, k, init_factor * iter_factor**k, votes_to_seed, max_size, spread)
         if max_size > 0:
             after = reject_large(after, strength, max_size)
         if adj is not None and rejection_ratio >= 0 and k >= rounds / 2:
-            after = reject_loose(after, adj, rejection_ratio)
-        before, states = states, materialize(after, "states")
+            after = reject_loose(after, adj, rejection_ratio, rejection_to_seed)
+        before = states
+        states, s = measured(after, "states", open=F.count(F.when(F.col("state").isin("U", "S"), 1)))
         discard(before)
+        if not s["open"] and max_size <= 0 and rejection_ratio < 0:
+            break  # nobody is undecided and every seed is closed
+    discard(sums)
     return states
 
 

@@ -34,4 +34,6 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out._quill_path = now._quill_path
+    return out

@@ -146,6 +146,27 @@ def numbered(rows: DataFrame, *keys: str) -> DataFrame:
     return ranged.withColumn("_own", own).join(before, "_part").withColumn("new", F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
 
 
+def followed(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the ``value`` of the next row of the same ``group`` in ``order`` (null for the last one). A
+    group may hold most rows: range partitions are written, and the last row of each takes its value from the next one."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    key = F.struct(group, *order)
+    # as many rows as there are partitions
+    firsts = ranged.groupBy("_part").agg(F.min(F.struct(key.alias("k"), F.col(group).alias("g"), F.col(value).alias("x"))).alias("f"))
+    after = firsts.select((F.lead("f").over(Window.orderBy("_part"))).alias("n"), "_part").select("_part", F.col("n.g").alias("_g"), F.col("n.x").alias("_x"))
+    own = Window.partitionBy("_part").orderBy(group, *order)
+    seen = ranged.withColumns({"_next": F.lead(F.struct(F.col(group).alias("g"), F.col(value).alias("x"))).over(own)}).join(F.broadcast(after), "_part")
+    following = F.when(F.col("_next").isNotNull(), F.when(F.col("_next.g") == F.col(group), F.col("_next.x"))).otherwise(F.when(F.col("_g") == F.col(group), F.col("_x")))
+    return seen.withColumn(name, following).drop("_part", "_next", "_g", "_x")
+
+
+def random_order(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """(i, new): contiguous numbers from 0 in an order drawn by ``seed``, to balance ids by :func:`permute`."""
+    return numbered(ids.select("i").distinct().withColumn("_h", F.xxhash64("i", F.lit(seed))), "_h", "i").select("i", "new")
+
+
 def renumber(ids: DataFrame) -> DataFrame:
     """(i, new): order-preserving contiguous numbers from 0."""
     return numbered(ids.select("i").distinct(), "i").select("i", "new")

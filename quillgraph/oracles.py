@@ -34,14 +34,18 @@ def _product(add: str) -> str:
     return _sql(f"SELECT a.i, round({add}, 6) + 0 AS v FROM lap a JOIN x ON x.i = a.j GROUP BY a.i")
 
 
-_TV = [f"""t0 AS MATERIALIZED (SELECT i, k, h - avg(h) OVER (PARTITION BY k) AS x FROM (
-    SELECT i, 0 AS k, {_hash("i", 0)} AS h FROM ids UNION ALL SELECT i, 1, {_hash("i", 1)} FROM ids UNION ALL SELECT i, 2, {_hash("i", 2)} FROM ids))"""]
+_TV = [f"t0 AS MATERIALIZED (SELECT i, k, h - avg(h) OVER (PARTITION BY k) AS x FROM ({' UNION ALL '.join(f'SELECT i, {k} AS k, {_hash("i", k)} AS h FROM ids' for k in range(10))}))"]
 _TV += [
     f"""t{n + 1} AS MATERIALIZED (SELECT a.i, t.k, (2e0/3e0) * (0 - sum(CASE WHEN a.v < 0 THEN a.v * t.x ELSE 0 END)) / max(CASE WHEN a.i = a.j THEN a.v END)
     + (1 - 2e0/3e0) * max(CASE WHEN a.i = a.j THEN t.x END) AS x FROM lap a JOIN t{n} t ON t.i = a.j GROUP BY a.i, t.k)"""
-    for n in range(2)
+    for n in range(4)
 ]
-_TIED = _STRENGTH + ", f AS MATERIALIZED (SELECT * FROM (SELECT s.i, s.j, round(s.v / greatest(a.m, b.m), 9) AS v FROM s JOIN rs a ON a.i = s.i JOIN rs b ON b.i = s.j) WHERE v >= 1e-8), cs AS MATERIALIZED (SELECT j AS i, sum(v) AS s FROM f GROUP BY j), s0 AS MATERIALIZED (SELECT DISTINCT i, i AS ind, 'U' AS s, CAST(0 AS DOUBLE) AS votes FROM f)"
+_SCALED = ", f AS MATERIALIZED (SELECT * FROM (SELECT s.i, s.j, round(s.v / greatest(a.m, b.m), 9) AS v FROM s JOIN rs a ON a.i = s.i JOIN rs b ON b.i = s.j) WHERE v >= 1e-8), cs AS MATERIALIZED (SELECT j AS i, sum(v) AS s FROM f GROUP BY j), s0 AS MATERIALIZED (SELECT DISTINCT i, i AS ind, 'U' AS s, CAST(0 AS DOUBLE) AS votes FROM f)"
+_TIED = _STRENGTH + _SCALED
+#: Strengths by affinity in place of weights.
+_AFFINE = """s AS MATERIALIZED (SELECT i, j, xy * xy / (xx * yy * (xx * yy)) AS v FROM (
+    SELECT a.i, a.j, sum(p.x * q.x) AS xy, sum(p.x * p.x) AS xx, sum(q.x * q.x) AS yy FROM adj a JOIN t4 p ON p.i = a.i JOIN t4 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)),
+rs AS MATERIALIZED (SELECT i, max(v) AS m FROM s GROUP BY i)"""
 
 
 def _round(r: int) -> str:
@@ -68,8 +72,8 @@ deg AS MATERIALIZED (SELECT i, count(*) AS d FROM (SELECT i FROM e0 UNION ALL SE
 _STARS = "lab AS MATERIALIZED (SELECT o_custkey AS c, greatest(o_custkey * 2, max(o_orderkey) * 2 + 1) AS label FROM orders GROUP BY o_custkey), l AS (SELECT c * 2 AS i, label FROM lab UNION ALL SELECT o_orderkey * 2 + 1, label FROM orders JOIN lab ON c = o_custkey)"
 
 
-def _cg(iterations: int) -> list[str]:
-    parts = ["d AS (SELECT i, v AS d FROM lap WHERE i = j)", "c0 AS MATERIALIZED (SELECT x.i, CAST(0 AS DOUBLE) AS x, x.v - (SELECT avg(v) FROM x) AS r, CAST(0 AS DOUBLE) AS p FROM x)"]
+def _cg(iterations: int, diagonal: str = "v") -> list[str]:
+    parts = [f"d AS (SELECT i, {diagonal} AS d FROM lap WHERE i = j)", "c0 AS MATERIALIZED (SELECT x.i, CAST(0 AS DOUBLE) AS x, x.v - (SELECT avg(v) FROM x) AS r, CAST(0 AS DOUBLE) AS p FROM x)"]
     for k in range(iterations):
         beta = "0" if k == 0 else f"(SELECT sum(r * z) FROM z{k}) / (SELECT sum(r * z) FROM z{k - 1})"
         parts += [
@@ -82,6 +86,52 @@ def _cg(iterations: int) -> list[str]:
     return parts
 
 
+def _two_grid(lap: str, b: str, sweeps: int = 60) -> list[str]:
+    """``tg`` (i, x): a Jacobi sweep on ``lap``, the exact answer on aggregates by i % 16, another sweep. The exact answer
+    is that of many sweeps."""
+    parts = [
+        f"dt AS MATERIALIZED (SELECT i, v AS d FROM {lap} WHERE i = j)",
+        f"x1 AS MATERIALIZED (SELECT b.i, (2e0/3e0) * b.v / d AS x, b.v AS b FROM {b} b JOIN dt ON dt.i = b.i)",
+        f"r1 AS MATERIALIZED (SELECT a.i % 16 AS i, sum(r) AS r FROM (SELECT y.i, max(y.b) - sum(a.v * x1.x) AS r FROM {lap} a JOIN x1 ON x1.i = a.j JOIN x1 y ON y.i = a.i GROUP BY y.i) a GROUP BY 1)",
+        f"lc AS MATERIALIZED (SELECT i % 16 AS i, j % 16 AS j, sum(v) AS v FROM {lap} GROUP BY 1, 2)",
+        "dc AS MATERIALIZED (SELECT i, v AS d FROM lc WHERE i = j)",
+        "w0 AS MATERIALIZED (SELECT i, CAST(0 AS DOUBLE) AS x FROM dc)",
+    ]
+    for k in range(sweeps):
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT w.i, max(w.x) + (2e0/3e0) * (max(r1.r) - sum(lc.v * u.x)) / max(dc.d) AS x FROM w{k} w JOIN lc ON lc.i = w.i JOIN w{k} u ON u.i = lc.j JOIN r1 ON r1.i = w.i JOIN dc ON dc.i = w.i GROUP BY w.i)")
+    parts += [
+        f"x2 AS MATERIALIZED (SELECT x1.i, x1.x + w.x - (SELECT avg(x) FROM w{sweeps}) AS x, x1.b FROM x1 JOIN w{sweeps} w ON w.i = x1.i % 16)",
+        f"tg AS MATERIALIZED (SELECT y.i, (2e0/3e0) * (max(y.b) - sum(CASE WHEN a.v < 0 THEN a.v * x2.x ELSE 0 END)) / max(dt.d) + (1 - 2e0/3e0) * max(y.x) AS x FROM {lap} a JOIN x2 ON x2.i = a.j JOIN x2 y ON y.i = a.i JOIN dt ON dt.i = a.i GROUP BY y.i)",
+    ]
+    return parts
+
+
+_PARTS = f"""e0 AS MATERIALIZED ({_edges("lineitem", "l_partkey", "l_suppkey")}), {_BOTH}, ids AS MATERIALIZED (SELECT DISTINCT i FROM adj),
+lap AS MATERIALIZED (SELECT i, j, -w AS v FROM adj UNION ALL SELECT i, i, sum(w) AS v FROM adj GROUP BY i)"""
+_JACOBI = ["j0 AS MATERIALIZED (SELECT x.i, x.v AS x, y.v AS b FROM x JOIN y ON y.i = x.i)"] + [
+    f"""j{k + 1} AS MATERIALIZED (SELECT a.i, (2e0/3e0) * (max(CASE WHEN a.i = a.j THEN j.b END) - sum(CASE WHEN a.v < 0 THEN a.v * j.x ELSE 0 END)) / max(CASE WHEN a.i = a.j THEN a.v END)
+    + (1 - 2e0/3e0) * max(CASE WHEN a.i = a.j THEN j.x END) AS x, max(CASE WHEN a.i = a.j THEN j.b END) AS b FROM lap a JOIN j{k} j ON j.i = a.j GROUP BY a.i)"""
+    for k in range(4)
+]
+_POWER = ["dg AS MATERIALIZED (SELECT i, v AS d FROM lap WHERE i = j)", f"h0 AS MATERIALIZED (SELECT i, {_hash('i', 3)} - 0.5e0 AS x FROM ids)"] + [
+    f"h{k + 1} AS MATERIALIZED (SELECT a.i, sum(a.v * h.x) / max(dg.d) AS x FROM lap a JOIN h{k} h ON h.i = a.j JOIN dg ON dg.i = a.i GROUP BY a.i)" for k in range(8)
+]
+_BAD = """pm AS MATERIALIZED (SELECT x.i, agg, v - avg(v) OVER (PARTITION BY agg) AS v FROM x JOIN blk ON blk.i = x.i),
+bad AS MATERIALIZED (SELECT agg FROM pm GROUP BY agg HAVING count(*) > 1 AND greatest(avg(v * v), max(abs(v))) > 0.4)"""
+#: A second elimination, on what the first one leaves.
+_ELIM2 = """lap2 AS MATERIALIZED (SELECT p.c AS i, q.c AS j, sum(p.v * a.v * q.v) AS v FROM p JOIN lap a ON a.i = p.i JOIN p q ON q.i = a.j GROUP BY 1, 2),
+cand2 AS (SELECT i FROM lap2 WHERE v <> 0 GROUP BY i HAVING count(*) - 1 <= 4),
+elim2 AS MATERIALIZED (SELECT a.i FROM lap2 a JOIN cand2 p ON a.i = p.i JOIN cand2 q ON a.j = q.i WHERE a.v <> 0 GROUP BY a.i HAVING min(a.j) = a.i),
+dg2 AS MATERIALIZED (SELECT i, v AS d FROM lap2 WHERE i = j),
+p2 AS MATERIALIZED (SELECT i, i AS c, CAST(1 AS DOUBLE) AS v FROM dg2 WHERE i NOT IN (SELECT i FROM elim2) UNION ALL
+    SELECT a.i, a.j, -a.v / dg2.d FROM lap2 a JOIN elim2 e ON e.i = a.i JOIN dg2 ON dg2.i = a.i WHERE a.i <> a.j)"""
+_RESTRICTION = "rr AS MATERIALIZED (SELECT a.i, coalesce(r.ind, a.ind) AS agg FROM s10 a LEFT JOIN s10 r ON r.i = a.ind)"
+
+
+def _fixed(i: str) -> str:
+    return f"(({i} * 37 % 1000) / 1000e0)"
+
+
 _SIGMA = "CAST(1.4 AS DOUBLE) / 0.8"  # bounds of 0.6 and 2.2
 ORACLES: dict[str, str] = {
     "scan_edges": _sql("SELECT i, j, w AS v FROM adj"),
@@ -115,7 +165,7 @@ ORACLES: dict[str, str] = {
     "weighted_degree": _sql("SELECT i, sum(w) AS v FROM adj GROUP BY i"),
     "symmetrize": """WITH a AS (SELECT l_suppkey AS i, l_linenumber AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
         SELECT i, j, sum(v) / 2 AS v FROM (SELECT i, j, v FROM a UNION ALL SELECT j, i, v FROM a) GROUP BY 1, 2""",
-    "cooccurrence": """WITH a AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY 1, 2)
+    "cooccurrence": """WITH a AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
         SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON b.j = a.j AND a.i <> b.i GROUP BY 1, 2""",
     "cooccurrence_all": """WITH a AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
         SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON b.j = a.j AND a.i <> b.i GROUP BY 1, 2""",
@@ -138,10 +188,10 @@ ORACLES: dict[str, str] = {
     "galerkin_elim": _sql("SELECT p.c AS i, q.c AS j, round(sum(p.v * a.v * q.v), 6) + 0 AS v FROM p JOIN lap a ON a.i = p.i JOIN p q ON q.i = a.j GROUP BY 1, 2", _ELIM),
     "elim_solve": _sql("SELECT i, round(sum(v), 6) + 0 AS v FROM (SELECT p.i, p.v * y.v AS v FROM p JOIN y ON y.i = p.c UNION ALL SELECT e.i, x.v / dg.d FROM elim e JOIN dg ON dg.i = e.i JOIN x ON x.i = e.i) GROUP BY i", _ELIM),
     "tv_init": _sql("SELECT i, k, round(x, 6) + 0 AS v FROM t0", _TV[0]),
-    "tv_smooth": _sql("SELECT i, k, round(x, 6) + 0 AS v FROM t2", *_TV),
+    "tv_smooth": _sql("SELECT i, k, round(x, 6) + 0 AS v FROM t4", *_TV),
     "affinity_raw": _sql("""SELECT i, j, round(log10(1 + xy * xy / (xx * yy * (xx * yy))), 6) AS v FROM (
-        SELECT a.i, a.j, sum(p.x * q.x) AS xy, sum(p.x * p.x) AS xx, sum(q.x * q.x) AS yy FROM adj a JOIN t2 p ON p.i = a.i JOIN t2 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)""", *_TV),
-    "affinity_algdist": _sql("SELECT i, j, round(log10(1 + 1 / m), 6) AS v FROM (SELECT a.i, a.j, max(abs(p.x - q.x)) AS m FROM adj a JOIN t2 p ON p.i = a.i JOIN t2 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)", *_TV),
+        SELECT a.i, a.j, sum(p.x * q.x) AS xy, sum(p.x * p.x) AS xx, sum(q.x * q.x) AS yy FROM adj a JOIN t4 p ON p.i = a.i JOIN t4 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)""", *_TV),
+    "affinity_algdist": _sql("SELECT i, j, round(log10(1 + 1 / m), 6) AS v FROM (SELECT a.i, a.j, max(abs(p.x - q.x)) AS m FROM adj a JOIN t4 p ON p.i = a.i JOIN t4 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)", *_TV),
     "affinity_none": _sql("SELECT i, j, v FROM s", _STRENGTH),
     "affinity_row": _sql("SELECT s.i, s.j, round(v / a.t, 9) AS v FROM s JOIN rs a ON a.i = s.i", _STRENGTH),
     "affinity_col": _sql("SELECT s.i, s.j, round(v / a.t, 9) AS v FROM s JOIN rs a ON a.i = s.j", _STRENGTH),
@@ -170,5 +220,35 @@ ORACLES: dict[str, str] = {
     "cr_bad_aggregates": _sql("""SELECT agg, round(avg(v * v), 6) AS norm2, round(max(abs(v)), 6) AS norm_inf, count(*) AS size FROM (SELECT agg, v - avg(v) OVER (PARTITION BY agg) AS v FROM x JOIN blk ON blk.i = x.i)
         GROUP BY agg HAVING count(*) > 1 AND greatest(avg(v * v), max(abs(v))) > 0.4""", _BLOCKS),
     "pcg_jacobi_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3)),
-    "solve": "SELECT DISTINCT i, CAST(0 AS DOUBLE) AS v FROM (SELECT l_partkey * 2 AS i FROM lineitem UNION SELECT l_suppkey * 2 + 1 FROM lineitem)",
+    "solve": f"WITH {_PARTS} SELECT i, round({_fixed('i')} - (SELECT {_fixed('min(i)')} FROM ids), 3) + 0 AS v FROM ids",
+    "coarse_solve": f"WITH c AS (SELECT DISTINCT i % 16 AS i FROM (SELECT l_partkey * 2 AS i FROM lineitem UNION SELECT l_suppkey * 2 + 1 FROM lineitem)) SELECT i, round({_fixed('i')} - (SELECT {_fixed('min(i)')} FROM c), 3) + 0 AS v FROM c",
+    "two_grid": f"WITH {_PARTS}, b0 AS (SELECT i, {_hash('i', 1)} AS v FROM ids), b AS MATERIALIZED (SELECT i, v - (SELECT avg(v) FROM b0) AS v FROM b0), {', '.join(_two_grid('lap', 'b'))} SELECT i, round(x, 6) + 0 AS v FROM tg",
+    "vcycle_1": _sql("""SELECT i, round(sum(v), 6) + 0 AS v FROM (SELECT p.i, p.v * tg.x AS v FROM p JOIN tg ON tg.i = p.c UNION ALL SELECT e.i, b.v / dg.d FROM elim e JOIN dg ON dg.i = e.i JOIN b ON b.i = e.i) GROUP BY i""",
+        _ELIM, "b AS MATERIALIZED (SELECT i, v - (SELECT avg(v) FROM y) AS v FROM y)", "lap2 AS MATERIALIZED (SELECT p.c AS i, q.c AS j, sum(p.v * a.v * q.v) AS v FROM p JOIN lap a ON a.i = p.i JOIN p q ON q.i = a.j GROUP BY 1, 2)",
+        "b2 AS MATERIALIZED (SELECT p.c AS i, sum(p.v * b.v) AS v FROM p JOIN b ON b.i = p.i GROUP BY 1)", *_two_grid("lap2", "b2")),
+    "hierarchy_report": _sql("""SELECT CAST(0 AS INTEGER) AS level, 'agg' AS kind, (SELECT count(*) FROM ids) AS size, (SELECT count(*) FROM lap) AS nnz UNION ALL
+        SELECT 1, 'coarse', (SELECT count(DISTINCT agg) FROM rr), (SELECT count(*) FROM (SELECT DISTINCT a.agg, b.agg AS o FROM lap JOIN rr a ON a.i = lap.i JOIN rr b ON b.i = lap.j))""", _TIED, *_ROUNDS, _RESTRICTION),
+    "restriction": _sql("SELECT i, agg FROM rr", _TIED, *_ROUNDS, _RESTRICTION),
+    "agg_affinity": _sql("SELECT i, agg FROM rr", *_TV, _AFFINE + _SCALED, *_ROUNDS, _RESTRICTION),
+    "affinity_scaled": _sql("SELECT s.i, s.j, round(v / greatest(a.m, b.m), 6) AS v FROM s JOIN rs a ON a.i = s.i JOIN rs b ON b.i = s.j", *_TV, _AFFINE),
+    "agg_tally": _sql("SELECT i, round(vt, 6) AS votes FROM n0", _TIED, _ROUNDS[0]),
+    "agg_reject_size": _sql("""SELECT a.i, CASE WHEN m.place > 4 THEN a.i ELSE a.ind END AS ind, CASE WHEN m.place > 4 THEN 'U' WHEN z.ind IS NOT NULL THEN 'R' ELSE a.s END AS state
+        FROM s3 a LEFT JOIN m ON m.i = a.i LEFT JOIN z ON z.ind = a.i""", _TIED, *_ROUNDS[:3], "z AS (SELECT ind FROM s3 WHERE ind <> i GROUP BY ind HAVING count(*) > 4)",
+        "m AS (SELECT s3.i, row_number() OVER (PARTITION BY s3.ind ORDER BY coalesce(f.v, 0) DESC, s3.i) AS place FROM s3 JOIN z ON z.ind = s3.ind LEFT JOIN f ON f.i = s3.i AND f.j = s3.ind WHERE s3.ind <> s3.i)"),
+    "agg_reject_loose": _sql("""SELECT a.i, CASE WHEN a.s = 'D' AND coalesce(e.loose, false) THEN a.i ELSE a.ind END AS ind, CASE WHEN a.s = 'D' AND coalesce(e.loose, false) THEN 'U' ELSE a.s END AS state FROM s3 a LEFT JOIN e ON e.i = a.i""",
+        _TIED, *_ROUNDS[:3], """e AS (SELECT i, CASE WHEN n > 0 THEN x / n > 2 ELSE x > 0 END AS loose FROM (SELECT adj.i, sum(CASE WHEN a.ind <> b.ind THEN w ELSE 0 END) AS x, sum(CASE WHEN a.ind = b.ind THEN w ELSE 0 END) AS n
+        FROM adj JOIN s3 a ON a.i = adj.i JOIN s3 b ON b.i = adj.j GROUP BY adj.i))"""),
+    "elim_compose": _sql("SELECT p.i, p2.c AS j, round(sum(p.v * p2.v), 6) + 0 AS v FROM p JOIN p2 ON p2.i = p.c GROUP BY 1, 2", _ELIM, _ELIM2),
+    "jacobi_4": _sql("SELECT i, round(x, 6) + 0 AS v FROM j4", *_JACOBI),
+    "lambda_max_power": _sql("SELECT round((SELECT sqrt(sum(x * x)) FROM h8) / (SELECT sqrt(sum(x * x)) FROM h7), 6) AS v", *_POWER),
+    "cg_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3, "1")),
+    "p_to_s": _sql("""SELECT i, agg, CAST(k AS INTEGER) AS k, round(CASE WHEN m = k + 1 THEN -k ELSE 1 END / sqrt(CAST(k * (k + 1) AS DOUBLE)), 6) AS v FROM (
+        SELECT i, agg, m, unnest(range(greatest(m - 1, 1), n)) AS k FROM (SELECT i, agg, row_number() OVER (PARTITION BY agg ORDER BY i) AS m, count(*) OVER (PARTITION BY agg) AS n FROM blk))""", _BLOCKS),
+    "cr_split": _sql("""SELECT pm.i, CASE WHEN bad.agg IS NOT NULL AND v < 0 THEN min(CASE WHEN v < 0 THEN pm.i END) OVER (PARTITION BY pm.agg) ELSE pm.agg END AS agg FROM pm LEFT JOIN bad ON bad.agg = pm.agg""", _BLOCKS, _BAD),
+    "cr_roots": _sql("SELECT pm.agg, arg_min(i, row(v, i)) AS least, arg_min(i, row(-v, i)) AS most FROM pm JOIN bad ON bad.agg = pm.agg GROUP BY pm.agg", _BLOCKS, _BAD),
+    "cr_voted_roots": _sql("""SELECT pm.agg, arg_min(i, row(-round(abs(v), 3), i)) FILTER (v < 0) AS low, arg_min(i, row(-round(abs(v), 3), i)) FILTER (v >= 0) AS high FROM pm JOIN bad ON bad.agg = pm.agg GROUP BY pm.agg""", _BLOCKS, _BAD),
+    "cr_votes": f"""WITH {_PARTS}, x AS MATERIALIZED (SELECT i, {_hash("i", 0)} - 0.5e0 AS v FROM ids) SELECT a.i, round(sum(CASE WHEN a.i % 16 = a.j % 16 AND sign(x.v) = sign(u.v) THEN w / (abs(x.v - u.v) + 1e-4) ELSE 0 END), 6) AS votes
+        FROM adj a JOIN x ON x.i = a.i JOIN x u ON u.i = a.j GROUP BY a.i""",
+    "largest_cc_customer_order": f"""WITH e0 AS ({_edges("orders", "o_custkey", "o_orderkey")}), {_BOTH}, {_STARS}, n AS (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+        k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS new FROM l WHERE label IN (FROM n)) SELECT a.new AS i, b.new AS j, w FROM adj JOIN k a ON a.i = adj.i JOIN k b ON b.i = adj.j""",
 }

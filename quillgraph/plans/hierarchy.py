@@ -1,77 +1,123 @@
 """The multigrid hierarchy and its cycles.
 
-Levels hold written tables. A cycle goes down and up the levels; on each it writes two vector tables, so plans stay short
-whatever the number of levels. The coarsest level, of a checked size, is solved by a dense pseudo-inverse.
+Levels hold written tables. A cycle goes down and up the levels as one lazy plan that is cut where a vector is used twice:
+an aggregation level writes one table, and the whole cycle one more. The coarsest level is solved exactly: where it has few
+vertices, by a dense pseudo-inverse whose rows are a table; where coarsening ended early, by iteration.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import aggregation, elimination, linalg, smoothers, strength
 from quillgraph.operators.graph import adjacency
+from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner
 from quillgraph.plans.options import Options
-from quillgraph.storage import materialize
+from quillgraph.storage import discard, materialize, measured
 
 
 @dataclass
-class Elimination:
+class Level:
+    """What all levels have: their matrix (i, j, v), its rows and entries, and whether a vector of theirs may be broadcast.
+    ``exact`` levels pass a K-cycle through. A level of another kind gives ``kind``, ``work`` and ``apply``."""
+
     matrix: DataFrame
-    p: DataFrame
-    q: DataFrame
     size: int
     nnz: int
-    extra: int
+    small: bool = False
+    kind: str = ""
+    exact: bool = False
+
+    def work(self, options: Options) -> float:
+        raise NotImplementedError
+
+    def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
+        """The answer (i, v) for the right-hand side ``b`` (i, v), from zero."""
+        raise NotImplementedError
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"A": self.matrix}
+
+
+@dataclass
+class Elimination(Level):
+    p: DataFrame | None = None
+    q: DataFrame | None = None
+    extra: int = 0
     kind: str = "elim"
     exact: bool = True
 
     def work(self, options: Options) -> float:
         return self.extra
 
+    def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
+        return elimination.extend(self.p, self.q, below(levels, linalg.spmv(linalg.transpose(self.p), b), options, at), b)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return super().tables() | {"P": self.p, "Q": self.q}
+
 
 @dataclass
-class Aggregation:
-    matrix: DataFrame
-    assign: DataFrame
-    largest: float
-    size: int
-    nnz: int
+class Aggregation(Level):
+    assign: DataFrame | None = None
+    largest: float = 2.0
     kind: str = "agg"
-    exact: bool = False
 
     def work(self, options: Options) -> float:
         return (options.pre_smooth + options.post_smooth + 1) * self.nnz + 3 * self.size
 
+    def smooth(self, state: DataFrame, options: Options, sweeps: int, zero: bool = False) -> DataFrame:
+        if options.smoother == "jacobi":
+            return smoothers.jacobi(self.matrix, state, sweeps=1, zero=zero, small=self.small)  # one sweep whatever the setting
+        return smoothers.chebyshev(self.matrix, state, self.largest, sweeps, options.cheby_low, options.cheby_high, zero, self.small)
+
+    def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
+        state = self.smooth(b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("b")), options, options.pre_smooth, zero=True)
+        state = materialize(smoothers.with_residual(self.matrix, state, self.small), "smoothed")
+        rest = smoothers.restrict(state.select("i", F.col("r").alias("v")), self.assign)
+        inner = smoothers.prolong(below(levels, rest, options, at), self.assign)
+        state = state.join(inner, "i").select("i", (F.col("x") + F.col("v")).alias("x"), "b")
+        scale = F.lit(4.0 / 3.0 if options.constant_correction else 1.0)
+        return self.smooth(state, options, options.post_smooth).select("i", (scale * F.col("x")).alias("v"))
+
+    def tables(self) -> dict[str, DataFrame]:
+        return super().tables() | {"R": self.assign}
+
 
 @dataclass
-class Coarse:
-    matrix: DataFrame
-    size: int
-    nnz: int
-    ids: np.ndarray | None
-    inverse: np.ndarray | None
-    largest: float
+class Coarse(Level):
+    #: (i, row array<double>): rows of the pseudo-inverse, columns in order of i; none where the level is too large.
+    inverse: DataFrame | None = None
     kind: str = "coarse"
-    exact: bool = False
 
     def work(self, options: Options) -> float:
         return self.nnz
 
+    def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
+        if self.inverse is None:
+            return conjugate_gradients(self.matrix, b, jacobi_preconditioner(self.matrix), options.coarse_tol, 100 * options.iters, small=self.small).x
+        known = self.inverse.select("i").join(b, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))
+        ordered = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("b"))  # at most coarse_vertices values
+        value = F.aggregate(F.zip_with("row", "b", lambda a, x: a * x), F.lit(0.0), lambda s, x: s + x)
+        return self.inverse.join(F.broadcast(ordered), F.lit(True)).select("i", value.alias("v"))
 
-def largest_eigenvalue(lap: DataFrame, steps: int = 8) -> float:
-    """Of D⁻¹A, by power iteration from a fixed vector; each step ends in one row of sums."""
+
+def largest_eigenvalue(lap: DataFrame, steps: int = 8, small: bool = False) -> float:
+    """Of D⁻¹A, by power iteration from a fixed vector: the growth in the last of some steps, which are one plan."""
     from quillgraph.graphs import hashed_value
 
-    x = linalg.vertices(lap).select("i", (hashed_value(F.col("i"), 3) - 0.5).alias("x"), F.lit(0.0).alias("b"))
-    size = 1.0
-    for _ in range(steps):
-        x = materialize(smoothers.with_residual(lap, x).join(linalg.diagonal(lap), "i").select("i", (-F.col("r") / F.col("v") / F.lit(size)).alias("x"), F.lit(0.0).alias("b")), "power")
-        size = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-    return float(size)
+    d = linalg.diagonal(lap).withColumnRenamed("v", "d")
+    x = linalg.vertices(lap).select("i", (hashed_value(F.col("i"), 3) - 0.5).alias("v"))
+    for _ in range(steps - 1):
+        x = smoothers.with_product(lap, x, small).join(d, "i").select("i", (F.col("av") / F.col("d")).alias("v"))
+    last = smoothers.with_product(lap, x, small).join(d, "i")
+    growth = last.agg(F.sqrt(F.sum(F.pow(F.col("av") / F.col("d"), 2))).alias("after"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("before")).first()
+    return float(growth["after"] / growth["before"]) if growth["before"] else 1.0
 
 
 def strengths(lap: DataFrame, options: Options) -> DataFrame:
@@ -87,90 +133,98 @@ def strengths(lap: DataFrame, options: Options) -> DataFrame:
     return linalg.prune(scaled, lambda v: v < options.thresh)
 
 
-def build(lap: DataFrame, options: Options = Options()) -> list[Elimination | Aggregation | Coarse]:
-    """Levels from fine to coarse. Stops when a level is small, or does not get smaller."""
-    levels: list = []
-    matrix = materialize(lap, "level")
-    while True:
-        nnz, size = matrix.agg(F.count("*"), F.count(F.when(F.col("i") == F.col("j"), 1))).first()
-        if len(levels) >= options.max_levels - 1 or nnz <= options.min_size or size <= 1:
+@dataclass
+class Counted:
+    """A written matrix with its entries and rows, counted while it was written."""
+
+    matrix: DataFrame
+    nnz: int = field(init=False)
+    size: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.matrix, s = measured(self.matrix, "level", nnz=F.count("*"), size=F.count(F.when(F.col("i") == F.col("j"), 1)))
+        self.nnz, self.size = int(s["nnz"]), int(s["size"])
+
+
+def eliminate(now: Counted, options: Options) -> tuple[DataFrame, DataFrame, Counted, int] | None:
+    """(P, Q, what is left, entries of P twice and of Q) of up to ``elim_iters`` eliminations in a row; none where too
+    few vertices would go."""
+    found = None
+    for _ in range(options.elim_iters):
+        gone, s = measured(elimination.select(now.matrix, options.elim_degree), "gone", k=F.count("*"))
+        k = int(s["k"])
+        if not 0 < k < now.size or now.size - k > options.elim_factor * now.size:
             break
-        if options.always_elim:
-            gone = materialize(elimination.select(matrix, options.elim_degree), "gone")
-            k = gone.count()
-            if 0 < k and size - k <= options.elim_factor * size and size > k:
-                p, q = materialize(elimination.prolongation(matrix, gone), "elim_p"), materialize(elimination.inverse(matrix, gone), "elim_q")
-                levels.append(Elimination(matrix, p, q, size, nnz, 2 * p.count() + k))
-                matrix = materialize(elimination.coarse(matrix, p), "level")
-                continue_at = matrix.agg(F.count("*"), F.count(F.when(F.col("i") == F.col("j"), 1))).first()
-                nnz, size = continue_at
-                if nnz <= options.min_size or size <= options.coarse_vertices:
-                    break
-        if size <= options.coarse_vertices:
+        p, q = materialize(elimination.prolongation(now.matrix, gone), "elim_p"), materialize(elimination.inverse(now.matrix, gone), "elim_q")
+        left = Counted(elimination.coarse(now.matrix, p))
+        if found:
+            p, q = (materialize(x, "elim_pq") for x in elimination.compose(found[0], found[1], p, q))
+        found, now = (p, q, left), left
+    if not found:
+        return None
+    p, q, left = found
+    return p, q, left, 2 * p.count() + q.count()
+
+
+def build(lap: DataFrame, options: Options = Options(), tried: bool = False) -> list[Level]:
+    """Levels from fine to coarse. Coarsening stops when a level is small, or does not get smaller. ``tried``: it is known
+    that too few vertices of ``lap`` can be eliminated."""
+    levels: list[Level] = []
+    now = Counted(lap)
+    small = lambda: now.size <= options.broadcast_vertices
+    while len(levels) < options.max_levels - 1 and now.size > options.coarse_vertices or not levels and options.max_levels > 1:
+        if now.nnz <= options.min_size or now.size <= 1:
             break
-        tied = materialize(strengths(matrix, options), "scaled_strength")
+        if options.always_elim and not (tried and not levels) and (gone := eliminate(now, options)):
+            p, q, left, extra = gone
+            levels.append(Elimination(now.matrix, now.size, now.nnz, small(), p=p, q=q, extra=extra))
+            now = left
+            if now.nnz <= options.min_size or now.size <= options.coarse_vertices or len(levels) >= options.max_levels - 1:
+                break
+        if now.size <= options.coarse_vertices:
+            break
+        tied = materialize(strengths(now.matrix, options), "scaled_strength")
         states = aggregation.aggregate(
-            tied, linalg.vertices(matrix), options.agg_iters, options.agg_init_factor, options.agg_iter_factor, options.votes_to_seed, options.max_agg_size, adjacency(matrix), options.rejection_ratio
-        )
+            tied, linalg.vertices(now.matrix), options.agg_iters, options.agg_init_factor, options.agg_iter_factor, options.votes_to_seed, options.max_agg_size, adjacency(now.matrix),
+            options.rejection_ratio, options.rejection_to_seed, options.neighbor_of_neighbor,
+        )
         assign = materialize(aggregation.restriction(states), "assign")
-        if assign.select("agg").distinct().count() > options.stall * size:
+        discard(tied, states)
+        if assign.select("agg").distinct().count() > options.stall * now.size:
             break
-        levels.append(Aggregation(matrix, assign, largest_eigenvalue(matrix), size, nnz))
-        matrix = materialize(linalg.galerkin_of_map(assign, matrix), "level")
-    return [*levels, coarse_level(matrix, options)]
+        levels.append(Aggregation(now.matrix, now.size, now.nnz, small(), assign=assign, largest=largest_eigenvalue(now.matrix, small=small())))
+        now = Counted(linalg.galerkin_of_map(assign, now.matrix))
+    return [*levels, coarse_level(now.matrix, options)]
 
 
-def coarse_level(matrix: DataFrame, options: Options) -> Coarse:
+def coarse_level(matrix: DataFrame, options: Options = Options()) -> Coarse:
     nnz, size = matrix.agg(F.count("*"), F.count(F.when(F.col("i") == F.col("j"), 1))).first()
+    small = size <= options.broadcast_vertices
     if size > options.coarse_vertices:
-        return Coarse(matrix, size, nnz, None, None, largest_eigenvalue(matrix))
+        return Coarse(matrix, size, nnz, small)
     rows = matrix.toPandas()  # at most coarse_vertices squared
     ids = np.unique(rows["i"].to_numpy(dtype=np.int64))
     dense = np.zeros((len(ids), len(ids)))
     dense[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["v"]
-    return Coarse(matrix, size, nnz, ids, np.linalg.pinv((dense + dense.T) / 2, rcond=1e-12, hermitian=True), 0.0)
-
-
-def _smooth(level, state: DataFrame, options: Options, sweeps: int) -> DataFrame:
-    if options.smoother == "jacobi":
-        return smoothers.jacobi(level.matrix, state, sweeps=sweeps)
-    return smoothers.chebyshev(level.matrix, state, level.largest, sweeps, options.cheby_low, options.cheby_high)
-
-
-def cycle(levels: list, b: DataFrame, options: Options, at: int = 0) -> DataFrame:
-    """One V- or K-cycle from zero for the right-hand side ``b`` (i, v): (i, v), a written table (or cheap)."""
-    level = levels[at]
-    if level.kind == "coarse":
-        if level.inverse is None:
-            state = b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("b"))
-            return materialize(_smooth(level, state, options, 8).select("i", F.col("x").alias("v")), "coarse")
-        rows = b.toPandas()  # at most coarse_vertices rows
-        known = np.zeros(len(level.ids))
-        known[np.searchsorted(level.ids, rows["i"])] = rows["v"]
-        x = level.inverse @ (known - known.mean())
-        return b.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(level.ids, x, strict=True)], "i long, v double")
-    if level.kind == "elim":
-        inner = below(levels, materialize(linalg.spmv(linalg.transpose(level.p), b), "restricted"), options, at)
-        return materialize(elimination.extend(level.p, level.q, inner, b), "prolonged")
-    state = _smooth(level, b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("b")), options, options.pre_smooth)
-    state = materialize(smoothers.with_residual(level.matrix, state), "smoothed")
-    rest = materialize(smoothers.restrict(state.select("i", F.col("r").alias("v")), level.assign), "restricted")
-    inner = smoothers.prolong(below(levels, rest, options, at), level.assign)
-    state = state.join(inner, "i").select("i", (F.col("x") + F.col("v")).alias("x"), "b")
-    return materialize(_smooth(level, state, options, options.post_smooth).select("i", F.col("x").alias("v")), "cycled")
-
-
-def below(levels: list, b: DataFrame, options: Options, at: int) -> DataFrame:
+    inverse = np.linalg.pinv((dense + dense.T) / 2, rcond=1e-12, hermitian=True)
+    frame = pd.DataFrame({"i": ids, "row": inverse.tolist()})
+    return Coarse(matrix, size, nnz, small, inverse=materialize(matrix.sparkSession.createDataFrame(frame, "i long, row array<double>"), "inverse"))
+
+
+def cycle(levels: list[Level], b: DataFrame, options: Options, at: int = 0) -> DataFrame:
+    """One V- or K-cycle from zero for the right-hand side ``b`` (i, v): (i, v), a written table."""
+    return materialize(levels[at].apply(levels, b, options, at), "cycled")
+
+
+def below(levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
     """The next level's answer: a cycle, or in a K-cycle a few accelerated ones."""
     following = levels[at + 1]
     if options.kcycle and not following.exact and following.kind != "coarse":
-        from quillgraph.plans.krylov import conjugate_gradients
-
-        return conjugate_gradients(following.matrix, b, lambda r: cycle(levels, r, options, at + 1), 0.0, options.kcycle_iters).x
-    return cycle(levels, b, options, at + 1)
+        return conjugate_gradients(following.matrix, b, lambda r: cycle(levels, r, options, at + 1), 0.0, options.kcycle_iters, small=following.small).x
+    return following.apply(levels, b, options, at + 1)
 
 
-def cycle_complexity(levels: list, options: Options) -> float:
+def cycle_complexity(levels: list[Level], options: Options) -> float:
     """Work of a cycle in products with the finest matrix."""
     total, times = 0.0, 1
     for level in levels:
@@ -180,6 +234,13 @@ def cycle_complexity(levels: list, options: Options) -> float:
     return total / max(1, levels[0].nnz)
 
 
-def report(levels: list) -> list[tuple[int, str, int, int]]:
+def report(levels: list[Level]) -> list[tuple[int, str, int, int]]:
     """(level, kind, size, nnz)"""
     return [(k, level.kind, level.size, level.nnz) for k, level in enumerate(levels)]
+
+
+def dump(levels: list[Level], path: str) -> None:
+    """Every table of every level as Parquet below ``path``: ``level=<n>/<name>``, names A, P, Q and R (i, agg)."""
+    for k, level in enumerate(levels):
+        for name, table in level.tables().items():
+            table.write.mode("overwrite").parquet(f"{path}/level={k}/{name}")

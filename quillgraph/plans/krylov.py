@@ -1,15 +1,19 @@
-"""Flexible preconditioned conjugate gradients for singular Laplacians: the constant vector is projected out."""
+"""Preconditioned Krylov methods for singular Laplacians: the right-hand side's mean is taken out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import linalg
-from quillgraph.storage import discard, materialize
+from quillgraph.operators.smoothers import with_product
+from quillgraph.storage import discard, materialize, measured
+
+Preconditioner = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
@@ -22,42 +26,98 @@ class Iterations:
         return len(self.residuals) - 1
 
 
-def jacobi_preconditioner(lap: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def jacobi_preconditioner(lap: DataFrame) -> Preconditioner:
     d = linalg.diagonal(lap).withColumnRenamed("v", "d")
     return lambda r: r.join(d, "i").select("i", (F.col("v") / F.col("d")).alias("v"))
 
 
-def _sums(rows: DataFrame, **columns) -> dict[str, float]:
-    return {k: float(v or 0.0) for k, v in rows.agg(*(F.sum(c).alias(k) for k, c in columns.items())).first().asDict().items()}
+def no_preconditioner(r: DataFrame) -> DataFrame:
+    return r
+
+
+def _start(b: DataFrame) -> tuple[DataFrame, float]:
+    """A written table of b less its mean, and its norm."""
+    table, s = measured(b.select("i", "v"), "rhs", n=F.count("*"), v=F.sum("v"), vv=F.sum(F.col("v") * F.col("v")))
+    mean = s["v"] / s["n"] if s["n"] else 0.0
+    return table.withColumn("v", F.col("v") - F.lit(mean)), max(0.0, s["vv"] - s["n"] * mean * mean) ** 0.5
 
 
-def conjugate_gradients(lap: DataFrame, b: DataFrame, precondition: Callable[[DataFrame], DataFrame], tol: float = 1e-8, iters: int = 500) -> Iterations:
-    """Solve L x = b from zero until the residual norm is ``tol`` times the first. Each iteration writes two tables and
-    takes three rows of sums; the preconditioner may change from one to the next (the step is Polak-Ribière's)."""
-    ids, mean, second = (b.agg(F.count("*"), F.avg("v"), F.sum(F.col("v") * F.col("v"))).first()) or (0, 0.0, 0.0)
-    mean, n = mean or 0.0, ids or 0
+def conjugate_gradients(lap: DataFrame, b: DataFrame, precondition: Preconditioner, tol: float = 1e-8, iters: int = 500, flexible: bool = True, small: bool = False) -> Iterations:
+    """Solve L x = b from zero until the residual norm is ``tol`` times the first.
+
+    An iteration is the preconditioner and one written table: z meets the last direction and the product of z, and all
+    sums that the step needs are taken while the table is written. ``flexible``: the preconditioner may change from one
+    iteration to the next (Polak-Ribière's step)."""
+    rhs, start = _start(b)
     zero = F.lit(0.0)
-    now = materialize(b.select("i", zero.alias("x"), (F.col("v") - F.lit(mean)).alias("r"), zero.alias("before"), zero.alias("p")), "cg")
-    start = max(0.0, (second or 0.0) - n * mean * mean) ** 0.5
-    norms, last = [start], None
-    while norms[-1] > tol * start and len(norms) <= iters and start > 0:
-        z = precondition(now.select("i", F.col("r").alias("v"))).withColumnRenamed("v", "z")
-        held = materialize(now.join(z, "i"), "cg_z")
-        r, z = F.col("r"), F.col("z")
-        s = _sums(held, rz=r * z, change=(r - F.col("before")) * z)
-        beta = 0.0 if last is None or not last else s["change"] / last
+    now = rhs.select("i", zero.alias("x"), F.col("v").alias("r"), zero.alias("before"), zero.alias("p"), zero.alias("ap"))
+    norms, last, curve, written = [start], 0.0, 0.0, None
+    while start > 0 and norms[-1] > tol * start and len(norms) <= iters:
+        preconditioned = precondition(now.select("i", F.col("r").alias("v")))
+        z = with_product(lap, preconditioned, small).withColumnsRenamed({"v": "z", "av": "az"})
+        r, before, ap, z_, az = (F.col(c) for c in ("r", "before", "ap", "z", "az"))
+        products = {"rz": r * z_, "bz": before * z_, "zaz": z_ * az, "zap": z_ * ap, "rr": r * r, "raz": r * az, "rap": r * ap, "azaz": az * az, "azap": az * ap, "apap": ap * ap}
+        held, s = measured(now.join(z, "i"), "cg", **{k: F.sum(c) for k, c in products.items()})
+        discard(preconditioned, *([written] if written is not None else []))
+        written = held
+        norms[-1] = s["rr"] ** 0.5  # taken from the vector itself now
+        beta = 0.0 if not last else (s["rz"] - s["bz"] if flexible else s["rz"]) / last
         last = s["rz"]
-        turned = held.withColumn("p", z + F.lit(beta) * F.col("p")).drop("z")
-        product = linalg.spmv(lap, turned.select("i", F.col("p").alias("v"))).withColumnRenamed("v", "ap")
-        step = materialize(turned.join(product, "i"), "cg_p")
-        curve = _sums(step, pap=F.col("p") * F.col("ap"))["pap"]
+        curve = s["zaz"] + 2 * beta * s["zap"] + beta * beta * curve
         if not curve > 0:
+            now = held
             break
         alpha = last / curve
-        after = step.select("i", (F.col("x") + F.lit(alpha) * F.col("p")).alias("x"), (r - F.lit(alpha) * F.col("ap")).alias("r"), r.alias("before"), "p")
-        s = _sums(after, r=r, rr=r * r)
-        drift = s["r"] / max(n, 1)
-        before, now = now, materialize(after.withColumn("r", r - F.lit(drift)), "cg")
-        norms.append(max(0.0, s["rr"] - n * drift * drift) ** 0.5)
-        discard(before, held, step)
+        p, ap = z_ + F.lit(beta) * F.col("p"), az + F.lit(beta) * ap
+        now = held.select("i", (F.col("x") + F.lit(alpha) * p).alias("x"), (r - F.lit(alpha) * ap).alias("r"), r.alias("before"), p.alias("p"), ap.alias("ap"))
+        left = s["rr"] - 2 * alpha * (s["raz"] + beta * s["rap"]) + alpha * alpha * (s["azaz"] + 2 * beta * s["azap"] + beta * beta * s["apap"])
+        if left <= max(1e-8 * s["rr"], (tol * start) ** 2) or len(norms) >= iters:  # the difference may be rounding only: sum up
+            left = now.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+        norms.append(max(0.0, left) ** 0.5)
     return Iterations(now.select("i", F.col("x").alias("v")), norms)
+
+
+def generalised_minimal_residual(lap: DataFrame, b: DataFrame, precondition: Preconditioner, tol: float = 1e-8, iters: int = 500, restart: int = 30, small: bool = False) -> Iterations:
+    """Flexible GMRES, restarted: an orthonormal basis of at most ``restart`` columns in one table, and a least-squares
+    problem of that size on the driver. An iteration writes two tables; basis vectors are made orthogonal twice."""
+    rhs, start = _start(b)
+    x, norms = rhs.select("i", F.lit(0.0).alias("v")), [start]
+    residual, norm = rhs, start
+    while start > 0 and norms[-1] > tol * start and len(norms) <= iters:
+        basis, held = residual.select("i", (F.col("v") / F.lit(norm)).alias("q0")), []
+        h = np.zeros((restart + 1, restart))
+        for k in range(restart):
+            z = precondition(basis.select("i", F.col(f"q{k}").alias("v")))
+            pair = with_product(lap, z, small).withColumnsRenamed({"v": f"z{k}", "av": "w"})
+            w, columns = F.col("w"), [F.col(f"q{m}") for m in range(k + 1)]
+            first, dots = measured(basis.join(pair, "i"), "gmres", **{f"d{m}": F.sum(w * q) for m, q in enumerate(columns)})
+            less = w - sum((F.lit(dots[f"d{m}"]) * q for m, q in enumerate(columns)), F.lit(0.0))
+            again, more = measured(first.withColumn("w", less), "gmres", ww=F.sum(less * less), **{f"d{m}": F.sum(less * q) for m, q in enumerate(columns)})
+            less = w - sum((F.lit(more[f"d{m}"]) * q for m, q in enumerate(columns)), F.lit(0.0))
+            h[: k + 1, k] = [dots[f"d{m}"] + more[f"d{m}"] for m in range(k + 1)]
+            h[k + 1, k] = max(0.0, more["ww"] - sum(more[f"d{m}"] ** 2 for m in range(k + 1))) ** 0.5
+            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], norm * np.eye(k + 2)[0], rcond=None)
+            norms.append(float(np.linalg.norm(norm * np.eye(k + 2)[0] - h[: k + 2, : k + 1] @ y)))
+            discard(z, first, *held)
+            held = [again]
+            basis = again.withColumn(f"q{k + 1}", less / F.lit(h[k + 1, k] or 1.0)).drop("w")
+            if norms[-1] <= tol * start or not h[k + 1, k] > 1e-14 * norm or len(norms) > iters:
+                break
+        step = basis.select("i", sum((F.lit(float(c)) * F.col(f"z{m}") for m, c in enumerate(y)), F.lit(0.0)).alias("v"))
+        x = materialize(linalg.axpy(1.0, step, x), "gmres_x")
+        residual, s = measured(linalg.axpy(-1.0, linalg.spmv(lap, x, domain=rhs), rhs), "gmres_r", vv=F.sum(F.col("v") * F.col("v")))
+        norm = s["vv"] ** 0.5
+        if norm >= norms[0] * 2 or norm == 0 or not h[k + 1, k] > 1e-14 * norms[0]:
+            norms[-1] = norm
+            break
+        norms[-1] = norm
+    return Iterations(x, norms)
+
+
+#: Outer methods by name.
+METHODS: dict[str, Callable[..., Iterations]] = {
+    "cg": lambda *args, **kwargs: conjugate_gradients(*args, flexible=False, **kwargs),
+    "fcg": conjugate_gradients,
+    "pipefcg": conjugate_gradients,  # all sums of an iteration are taken in one pass as it is
+    "fgmres": generalised_minimal_residual,
+}

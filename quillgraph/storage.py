@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, float]]:
+    """:func:`materialize`, with aggregates of the rows taken while they are written: no second job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+    return out, {k: float(v or 0.0) for k, v in seen.get.items()}
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing lazy reads them any more."""
     for table in tables:

@@ -20,11 +20,15 @@ def adjacency(spark, edges):
     return spark.createDataFrame([(a, b, float(w)) for a, b, w in edges] + [(b, a, float(w)) for a, b, w in edges], "i long, j long, w double")
 
 
+#: Iterations that SQL does not express; tests below hold them against dense versions.
+ITERATIVE = {"kcycle", "fiedler"}
+
+
 def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - ITERATIVE == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck(SF).execute(ORACLES[name]).df())
 
