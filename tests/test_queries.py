@@ -1,15 +1,11 @@
 """Every query of the graph engine against its SQL, and the solver on graphs of its own."""
 
-import math
-
 import pytest
 from conftest import duck, rows_of
 
 from quillgraph.functions.convergence import measure
 from quillgraph.operators import aggregation, elimination, graph, linalg
 from quillgraph.oracles import ORACLES
-from quillgraph.plans.options import Options
-from quillgraph.plans.solver import Solver
 from quillgraph.queries import QUERIES
 from quillgraph.sources import matrices
 
@@ -80,20 +76,9 @@ def test_rejections(spark):
     assert {r["i"]: r["state"] for r in loose.collect()} == {0: "S", 1: "U", 9: "S"}
 
 
-@pytest.mark.parametrize("options", [Options(min_size=50, coarse_vertices=40), Options(min_size=50, coarse_vertices=40, kcycle=True, smoother="jacobi", always_elim=False)])
-def test_multilevel_solve(spark, options):
-    side = 12
-    edges = [(r * side + c, r * side + c + 1, 1 + (r + c) % 2) for r in range(side) for c in range(side - 1)] + [(r * side + c, (r + 1) * side + c, 1) for r in range(side - 1) for c in range(side)]
-    lap = graph.laplacian(adjacency(spark, edges))
-    from quillgraph.graphs import hashed_vector
-
-    b = linalg.orthogonalize(hashed_vector(linalg.vertices(lap)))
-    solver = Solver(lap, options)
-    x = solver.solve(b)
-    assert linalg.norm(linalg.residual(lap, x, b)).first()[0] < 1e-6
-    kinds = [r["kind"] for r in solver.report().orderBy("level").collect()]
-    assert kinds[-1] == "coarse" and "agg" in kinds
-    assert solver.convergence.iters >= 1 and math.isfinite(solver.convergence.wda)
+def parts_of(path):
+    """The lines of a folder of part files, in order of their names."""
+    return [line for part in sorted(path.glob("part-*")) for line in part.read_text().splitlines()]
 
 
 def test_files(spark, tmp_path):
@@ -101,11 +86,41 @@ def test_files(spark, tmp_path):
     a = matrices.read_matrix_market(spark, str(tmp_path / "a.mtx"))
     assert sorted(map(tuple, a.collect())) == [(0, 0, 2.0), (0, 1, -1.0), (1, 0, -1.0), (2, 2, 4.0)]
     matrices.write_matrix_market(a, str(tmp_path / "b"), 3)
+    assert parts_of(tmp_path / "b") == ["%%MatrixMarket matrix coordinate real general", "3 3 4", "1 1 2.0", "2 1 -1.0", "1 2 -1.0", "3 3 4.0"]
     assert sorted(map(tuple, matrices.read_matrix_market(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, a.collect()))
     (tmp_path / "v.txt").write_text("2\n0.5\n1.5\n")
     assert sorted(map(tuple, matrices.read_vector(spark, str(tmp_path / "v.txt")).collect())) == [(0, 0.5), (1, 1.5)]
+    x = spark.range(1000).selectExpr("id AS i", "id / 8.0D AS v")
+    matrices.write_vector(x, str(tmp_path / "x"))
+    assert parts_of(tmp_path / "x")[:3] == ["1000", "0.0", "0.125"]
+    assert sorted(map(tuple, matrices.read_vector(spark, str(tmp_path / "x")).collect())) == [(k, k / 8) for k in range(1000)]
+    matrices.write_vector(x, str(tmp_path / "plain"), length=False)
+    assert len(parts_of(tmp_path / "plain")) == 1000
+    (tmp_path / "short.txt").write_text("3 1 2")
+    with pytest.raises(ValueError):
+        matrices.read_vector(spark, str(tmp_path / "short.txt"))
+
+
+def test_binary_files(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(matrices.vector_bytes([1.0, -2.0]))
-    assert sorted(map(tuple, matrices.read_binary_vector(spark, str(tmp_path / "v.bin")).collect())) == [(0, 1.0), (1, -2.0)]
+    x = matrices.read_binary_vector(spark, str(tmp_path / "v.bin"))
+    assert sorted(map(tuple, x.collect())) == [(0, 1.0), (1, -2.0)]
+    assert matrices.binary_vector(x).first()["content"] == (tmp_path / "v.bin").read_bytes()
+    a = spark.createDataFrame([(0, 0, 2.0), (2, 1, -1.5), (0, 2, 0.25)], "i long, j long, v double")
+    matrices.write_binary(matrices.binary_matrix(a, 3), str(tmp_path / "a.bin"))
+    raw = (tmp_path / "a.bin").read_bytes()
+    assert raw[:16] == bytes.fromhex("00127b50") + bytes([0, 0, 0, 3] * 3) and len(raw) == 16 + 12 + 36
+    assert sorted(map(tuple, matrices.read_binary_matrix(spark, str(tmp_path / "a.bin")).collect())) == sorted(map(tuple, a.collect()))
+
+
+def test_adjacency_and_catalog(spark, tmp_path):
+    lap = graph.laplacian(adjacency(spark, [(0, 1, 2), (1, 2, 3), (0, 2, 1), (2, 3, 4)]))
+    matrices.write_adjacency(lap, str(tmp_path / "g"))
+    assert parts_of(tmp_path / "g") == ["4 4", "2 3", "1 3", "1 2 4", "3"]
+    (tmp_path / "c.csv").write_text("2\n01-Jan-2020\nA,one,3,3,7,1,0,0,1,1.0,0.5,graph\nB,two,4,4,9,0,1,1,0,0.5,0.5,mesh\n")
+    rows = matrices.read_catalog(spark, str(tmp_path / "c.csv")).orderBy("id").collect()
+    assert [(r["id"], r["name"], r["rows"], r["real"], r["posdef"], r["kind"]) for r in rows] == [(1, "one", 3, True, True, "graph"), (2, "two", 4, False, False, "mesh")]
+    assert [r["name"] for r in graph.of_kinds(matrices.read_catalog(spark, str(tmp_path / "c.csv")), "kind", ["mesh"]).collect()] == ["two"]
 
 
 def test_convergence_figures():
