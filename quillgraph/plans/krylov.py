@@ -92,7 +92,7 @@ def generalised_minimal_residual(lap: DataFrame, b: DataFrame, precondition: Pre
             w, columns = F.col("w"), [F.col(f"q{m}") for m in range(k + 1)]
             first, dots = measured(basis.join(pair, "i"), "gmres", **{f"d{m}": F.sum(w * q) for m, q in enumerate(columns)})
             less = w - sum((F.lit(dots[f"d{m}"]) * q for m, q in enumerate(columns)), F.lit(0.0))
-            again, more = measured(first.withColumn("w", less), "gmres", ww=F.sum(less * less), **{f"d{m}": F.sum(less * q) for m, q in enumerate(columns)})
+            again, more = measured(first.withColumn("w", less), "gmres", ww=F.sum(F.col("w") * F.col("w")), **{f"d{m}": F.sum(F.col("w") * q) for m, q in enumerate(columns)})
             less = w - sum((F.lit(more[f"d{m}"]) * q for m, q in enumerate(columns)), F.lit(0.0))
             h[: k + 1, k] = [dots[f"d{m}"] + more[f"d{m}"] for m in range(k + 1)]
             h[k + 1, k] = max(0.0, more["ww"] - sum(more[f"d{m}"] ** 2 for m in range(k + 1))) ** 0.5
