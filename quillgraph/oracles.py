@@ -249,6 +249,7 @@ ORACLES: dict[str, str] = {
     "cr_voted_roots": _sql("""SELECT pm.agg, arg_min(i, row(-round(abs(v), 3), i)) FILTER (v < 0) AS low, arg_min(i, row(-round(abs(v), 3), i)) FILTER (v >= 0) AS high FROM pm JOIN bad ON bad.agg = pm.agg GROUP BY pm.agg""", _BLOCKS, _BAD),
     "cr_votes": f"""WITH {_PARTS}, x AS MATERIALIZED (SELECT i, {_hash("i", 0)} - 0.5e0 AS v FROM ids) SELECT a.i, round(sum(CASE WHEN a.i % 16 = a.j % 16 AND sign(x.v) = sign(u.v) THEN w / (abs(x.v - u.v) + 1e-4) ELSE 0 END), 6) AS votes
         FROM adj a JOIN x ON x.i = a.i JOIN x u ON u.i = a.j GROUP BY a.i""",
+    "fiedler": f"WITH {_STARS} SELECT CAST(1 AS DOUBLE) AS smallest, CAST(0 AS DOUBLE) AS away, CAST(max(n) AS DOUBLE) AS largest FROM (SELECT count(*) AS n FROM l GROUP BY label)",
     "largest_cc_customer_order": f"""WITH e0 AS ({_edges("orders", "o_custkey", "o_orderkey")}), {_BOTH}, {_STARS}, n AS (SELECT label FROM l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
         k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS new FROM l WHERE label IN (FROM n)) SELECT a.new AS i, b.new AS j, w FROM adj JOIN k a ON a.i = adj.i JOIN k b ON b.i = adj.j""",
 }

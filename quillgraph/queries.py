@@ -645,12 +645,13 @@ def hierarchy_report(spark, sf_dir):
 
 @query
 def fiedler(spark, sf_dir):
-    """The smallest eigenvalue beside 0, its vector's distance from an eigenvector, and the largest eigenvalue."""
-    lap = materialize(graph.laplacian(graphs.part_supplier(spark, sf_dir)), "lap")
+    """Of the largest component of customers and orders (a star): the smallest eigenvalue beside 0, its vector's distance
+    from an eigenvector, and the largest eigenvalue."""
+    lap = materialize(graph.laplacian(graph.largest_component(graphs.customer_order(spark, sf_dir))), "lap")
     low, high = smallest_pairs(lap), largest_pairs(lap)
     x = low.vectors.select("i", F.col("x0").alias("v"))
     away = linalg.norm(linalg.axpy(-low.values[0], x, linalg.spmv(lap, x)))
-    return away.select(F.lit(round(low.values[0], 6)).alias("smallest"), F.round(F.col("v") / low.values[0], 3).alias("away"), F.lit(round(high.values[0], 4)).alias("largest"))
+    return away.select(F.lit(round(low.values[0], 6)).alias("smallest"), (F.round("v", 6) + F.lit(0.0)).alias("away"), F.lit(round(high.values[0], 6)).alias("largest"))
 
 
 @query

@@ -16,8 +16,8 @@ def adjacency(spark, edges):
     return spark.createDataFrame([(a, b, float(w)) for a, b, w in edges] + [(b, a, float(w)) for a, b, w in edges], "i long, j long, w double")
 
 
-#: Iterations that SQL does not express; tests below hold them against dense versions.
-ITERATIVE = {"kcycle", "fiedler"}
+#: Iterations that SQL does not express; other tests hold them against dense versions.
+ITERATIVE = {"kcycle"}
 
 
 def test_all_have_sql():
