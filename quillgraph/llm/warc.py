@@ -15,8 +15,10 @@ Bodies never move with the order; :func:`with_payloads` joins them by record aft
 
 from __future__ import annotations
 
-import gzip
+import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,32 +129,70 @@ def _fields(block: bytes) -> tuple[str, dict[str, str]]:
     return first, found
 
 
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzipped in one or more members or not. A cut-off or damaged member ends the file."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    rest = memoryview(raw)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        while not member.eof and len(rest):
+            step = rest[: 1 << 20]
+            try:
+                yield member.decompress(step)
+            except zlib.error:
+                return
+            rest = rest[len(step) - len(member.unused_data) :]
+
+
+def _record(data: bytes) -> tuple[tuple | None, int]:
+    """The first record in ``data`` and its end; none where there is no whole one yet."""
+    at = data.find(b"WARC/")
+    end = data.find(b"\r\n\r\n", at) if at >= 0 else -1
+    if end < 0:
+        return None, 0
+    _, warc = _fields(data[at:end])
+    size = warc.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,18}", size):
+        raise ValueError("a record without a length")
+    to = end + 4 + int(size)
+    if to > len(data):
+        return None, 0
+    block = data[end + 4 : to]
+    is_http = block.startswith(b"HTTP/")
+    head, _, body = block.partition(b"\r\n\r\n")
+    first, headers = _fields(head) if is_http else ("", {})
+    status = re.match(r"\S+ ([0-9]{1,9})(?: |$)", first)
+    captured = pd.to_datetime(warc.get("warc-date"), errors="coerce", utc=True)
+    when = None if pd.isna(captured) else captured.tz_localize(None)
+    return (warc.get("warc-record-id"), warc.get("warc-type"), int(status[1]) if status else None, warc.get("warc-target-uri"), when, headers, body if is_http else block), to
+
+
 def parse_records(raw: bytes) -> Iterator[tuple]:
-    """Records of one WARC file, gzipped or not. A cut-off last record ends the file."""
-    data, at = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw, 0
-    while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
-        _, warc = _fields(data[at:end])
-        size = warc.get("content-length", "")
-        at = end + 4
-        if not size.isdigit() or at + int(size) > len(data):
+    """Records of one WARC file, gzipped or not, as they are unzipped. A cut-off last record, or one without a length,
+    ends the file."""
+    data = b""
+    for more in _inflated(raw):
+        data += more
+        try:
+            while (found := _record(data))[0]:
+                yield found[0]
+                data = data[found[1] :]
+        except ValueError:
             return
-        block, at = data[at : at + int(size)], at + int(size)
-        head, _, body = block.partition(b"\r\n\r\n")
-        first, headers = _fields(head) if head.startswith(b"HTTP/") else ("", {})
-        status = first.split(" ")[1] if first.count(" ") else ""
-        captured = pd.to_datetime(warc.get("warc-date"), errors="coerce", utc=True)
-        yield warc.get("warc-record-id"), warc.get("warc-type"), int(status) if status.isdigit() else None, warc.get("warc-target-uri"), None if pd.isna(captured) else captured.tz_localize(None), headers, body if head.startswith(b"HTTP/") else block
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for raw in frame["content"]:
-            rows = pd.DataFrame(list(parse_records(raw)), columns=["record_id", "warc_type", "status", "url", "captured", "headers", "body"])
-            yield rows.astype({"status": "Int32"})
+            records = parse_records(raw)
+            while some := list(islice(records, 256)):
+                yield pd.DataFrame(some, columns=["record_id", "warc_type", "status", "url", "captured", "headers", "body"]).astype({"status": "Int32"})
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``, one task a file: what :func:`resolve` takes, and body. Times are UTC;
-    the session's time zone must be too."""
+    """Records of the WARC files below ``path``, one task a file (of at most 2 GB): what :func:`resolve` takes, and body.
+    Times are UTC; the session's time zone must be too."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(_parsed, _RECORD)
