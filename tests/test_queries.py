@@ -5,6 +5,7 @@ from conftest import duck, rows_of
 
 from quillgraph.functions.convergence import measure
 from quillgraph.operators import aggregation, elimination, graph, linalg
+from quillgraph.operators.components import star_components
 from quillgraph.oracles import ORACLES
 from quillgraph.queries import QUERIES
 from quillgraph.sources import matrices
@@ -46,6 +47,14 @@ def test_components_and_ties(spark):
     assert sorted(map(tuple, tied.collect())) == [(0, 1, 2.0), (1, 0, 2.0)]
 
 
+def test_components_of_large_stars(spark):
+    """Hubs whose edges are dealt on, as least, greatest and middle vertex, and a path through them."""
+    stars = [(hub, 10_000 * k + leaf) for k, hub in enumerate((3, 90_001, 25_000)) for leaf in range(3_000) if 10_000 * k + leaf != hub]
+    edges = spark.createDataFrame([*stars, (200_000, 200_001), (2_999, 90_001)], "src long, dst long")
+    got = {r["node"]: r["label"] for r in star_components(edges).collect()}
+    assert len(got) == 9_004 and {got[k] for k in (3, 0, 2_999, 90_001, 12_999)} == {0} and {got[25_000], got[22_999]} == {20_000} and got[200_001] == 200_000
+
+
 def test_self_loops_cancel(spark):
     lap = graph.laplacian(spark.createDataFrame([(0, 0, 5.0), (0, 1, 1.0), (1, 0, 1.0)], "i long, j long, w double"))
     assert {(r["i"], r["j"]): r["v"] for r in lap.collect()} == {(0, 0): 1.0, (0, 1): -1.0, (1, 0): -1.0, (1, 1): 1.0}
