@@ -18,7 +18,7 @@ from quillgraph.operators import aggregation, elimination, linalg, smoothers, st
 from quillgraph.operators.graph import adjacency
 from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner
 from quillgraph.plans.options import Options
-from quillgraph.storage import discard, materialize, measured
+from quillgraph.storage import bucketed, discard, materialize, measured
 
 
 @dataclass
@@ -135,15 +135,20 @@ def strengths(lap: DataFrame, options: Options) -> DataFrame:
 
 @dataclass
 class Counted:
-    """A written matrix with its entries and rows, counted while it was written."""
+    """A written matrix with its entries and rows, counted while it was written. One with too many rows for a vector to
+    be broadcast is kept in buckets by column, so that products shuffle the vector and not the matrix."""
 
     matrix: DataFrame
+    broadcast_vertices: int = Options.broadcast_vertices
     nnz: int = field(init=False)
     size: int = field(init=False)
 
     def __post_init__(self) -> None:
         self.matrix, s = measured(self.matrix, "level", nnz=F.count("*"), size=F.count(F.when(F.col("i") == F.col("j"), 1)))
         self.nnz, self.size = int(s["nnz"]), int(s["size"])
+        if self.size > self.broadcast_vertices:
+            plain, self.matrix = self.matrix, bucketed(self.matrix, "level", "j")
+            discard(plain)
 
 
 def eliminate(now: Counted, options: Options) -> tuple[DataFrame, DataFrame, Counted, int] | None:
@@ -156,7 +161,7 @@ def eliminate(now: Counted, options: Options) -> tuple[DataFrame, DataFrame, Cou
         if not 0 < k < now.size or now.size - k > options.elim_factor * now.size:
             break
         p, q = materialize(elimination.prolongation(now.matrix, gone), "elim_p"), materialize(elimination.inverse(now.matrix, gone), "elim_q")
-        left = Counted(elimination.coarse(now.matrix, p))
+        left = Counted(elimination.coarse(now.matrix, p), options.broadcast_vertices)
         if found:
             p, q = (materialize(x, "elim_pq") for x in elimination.compose(found[0], found[1], p, q))
         found, now = (p, q, left), left
@@ -170,7 +175,7 @@ def build(lap: DataFrame, options: Options = Options(), tried: bool = False) ->
     """Levels from fine to coarse. Coarsening stops when a level is small, or does not get smaller. ``tried``: it is known
     that too few vertices of ``lap`` can be eliminated."""
     levels: list[Level] = []
-    now = Counted(lap)
+    now = Counted(lap, options.broadcast_vertices)
     small = lambda: now.size <= options.broadcast_vertices
     while len(levels) < options.max_levels - 1 and now.size > options.coarse_vertices or not levels and options.max_levels > 1:
         if now.nnz <= options.min_size or now.size <= 1:
@@ -193,7 +198,7 @@ def build(lap: DataFrame, options: Options = Options(), tried: bool = False) ->
         if assign.select("agg").distinct().count() > options.stall * now.size:
             break
         levels.append(Aggregation(now.matrix, now.size, now.nnz, small(), assign=assign, largest=largest_eigenvalue(now.matrix, small=small())))
-        now = Counted(linalg.galerkin_of_map(assign, now.matrix))
+        now = Counted(linalg.galerkin_of_map(assign, now.matrix), options.broadcast_vertices)
     return [*levels, coarse_level(now.matrix, options)]
 
 

@@ -666,5 +666,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full solve on the order-part graph: (i, x, residual)."""
     lap = materialize(lap_of(spark, sf_dir), "lap")
     b = materialize(linalg.orthogonalize(x_of(lap)), "b")
-    x = materialize(Solver(lap).solve(b), "x")
+    x = materialize(Solver(lap, Options(coarse_vertices=300)).solve(b), "x")
     return x.withColumnRenamed("v", "x").join(linalg.residual(lap, x, b).withColumnRenamed("v", "residual"), "i")

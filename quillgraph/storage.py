@@ -45,10 +45,27 @@ def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[
     return out, {k: float(v or 0.0) for k, v in seen.get.items()}
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """:func:`materialize` as a table in buckets by ``key``, as many as the session's shuffle partitions: joins on ``key``
+    shuffle only the other side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    where = f"{shared_dir(spark)}/{table}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", where).option("compression", "zstd").saveAsTable(table)
+    path, fs = _path(spark, where)
+    fs.deleteOnExit(path)
+    out = spark.table(table)
+    out._quill_path, out._quill_table = where, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing lazy reads them any more."""
     for table in tables:
         where = getattr(table, "_quill_path", None)
         if where:
+            if named := getattr(table, "_quill_table", None):
+                table.sparkSession.sql(f"DROP TABLE IF EXISTS {named}")
             path, fs = _path(table.sparkSession, where)
             fs.delete(path, True)

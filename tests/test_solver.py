@@ -49,7 +49,7 @@ def values(x, n):
     "options",
     [
         Options(min_size=50, coarse_vertices=12),
-        Options(min_size=50, coarse_vertices=20, kcycle=True, smoother="jacobi", always_elim=False, strength="none"),
+        Options(min_size=50, coarse_vertices=20, broadcast_vertices=15, kcycle=True, smoother="jacobi", always_elim=False, strength="none"),
         Options(min_size=50, coarse_vertices=20, tol=1e-7, outer="fgmres", elim_iters=2, top_elim=False, neighbor_of_neighbor=True, constant_correction=True),
     ],
 )
@@ -130,6 +130,22 @@ def test_outer_methods(spark, grid, method):
     assert np.abs((got - got.mean()) - want).max() < 1e-4 and found.residuals[-1] <= 1e-6 * found.residuals[0]
 
 
+def test_products_of_large_levels_leave_the_matrix_in_place(spark, grid):
+    """Where vectors are too long to broadcast, a product shuffles the vector by column and the sums by row, no more."""
+    lap, dense = grid
+    level = hierarchy.Counted(lap, 10)
+    x = vector(spark, np.arange(len(dense)))
+    product = smoothers.with_product(level.matrix, x)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = product._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2, plan
+        got = {r["i"]: r["av"] for r in product.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert np.allclose([got[k] for k in range(len(dense))], dense @ np.arange(len(dense)))
+
+
 def test_zero_and_single_right_hand_sides(spark, grid):
     lap, dense = grid
     zero = conjugate_gradients(lap, vector(spark, np.zeros(len(dense))), no_preconditioner)
