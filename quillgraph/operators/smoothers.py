@@ -140,3 +140,11 @@ def orthogonal_basis(assign: DataFrame) -> DataFrame:
     k = F.col("k").cast("double")
     value = F.when(F.col("m") == F.col("k") + 1, -k).otherwise(1.0) / F.sqrt(k * (k + 1))
     return sized.select("i", "agg", "m", F.explode(columns).alias("k")).select("i", "agg", "k", value.alias("v"))
+
+
+def complement_step(lap: DataFrame, basis: DataFrame, x: DataFrame) -> DataFrame:
+    """Sᵀ D⁻¹ A S x for the basis S (i, agg, k, v) of what an aggregation leaves to smoothing; ``x`` is (agg, k, x). The
+    eigenvalues of this operator say how well a Jacobi-like smoother does what the coarse level can't."""
+    fine = basis.join(x, ["agg", "k"]).groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    scaled = linalg.spmv(lap, fine).join(linalg.diagonal(lap).withColumnRenamed("v", "d"), "i").select("i", (F.col("v") / F.col("d")).alias("y"))
+    return basis.join(scaled, "i").groupBy("agg", "k").agg(F.sum(F.col("v") * F.col("y")).alias("x"))

@@ -116,6 +116,13 @@ _JACOBI = ["j0 AS MATERIALIZED (SELECT x.i, x.v AS x, y.v AS b FROM x JOIN y ON
 _POWER = ["dg AS MATERIALIZED (SELECT i, v AS d FROM lap WHERE i = j)", f"h0 AS MATERIALIZED (SELECT i, {_hash('i', 3)} - 0.5e0 AS x FROM ids)"] + [
     f"h{k + 1} AS MATERIALIZED (SELECT a.i, sum(a.v * h.x) / max(dg.d) AS x FROM lap a JOIN h{k} h ON h.i = a.j JOIN dg ON dg.i = a.i GROUP BY a.i)" for k in range(8)
 ]
+_BASIS = """basis AS MATERIALIZED (SELECT i, agg, k, CASE WHEN m = k + 1 THEN -k ELSE 1 END / sqrt(CAST(k * (k + 1) AS DOUBLE)) AS v FROM (
+    SELECT i, agg, m, unnest(range(greatest(m - 1, 1), n)) AS k FROM (SELECT i, agg, row_number() OVER (PARTITION BY agg ORDER BY i) AS m, count(*) OVER (PARTITION BY agg) AS n FROM blk)))"""
+_COMPLEMENT = ["dg AS MATERIALIZED (SELECT i, v AS d FROM lap WHERE i = j)", f"q0 AS MATERIALIZED (SELECT DISTINCT agg, k, {_hash('(agg + 31 * k)', 2)} - 0.5e0 AS x FROM basis)"] + [
+    f"""q{k + 1} AS MATERIALIZED (SELECT b.agg, b.k, sum(b.v * y.y) AS x FROM basis b JOIN (SELECT a.i, sum(a.v * f.v) / max(dg.d) AS y FROM lap a
+    JOIN (SELECT b.i, sum(b.v * q.x) AS v FROM basis b JOIN q{k} q ON q.agg = b.agg AND q.k = b.k GROUP BY b.i) f ON f.i = a.j JOIN dg ON dg.i = a.i GROUP BY a.i) y ON y.i = b.i GROUP BY 1, 2)"""
+    for k in range(4)
+]
 _BAD = """pm AS MATERIALIZED (SELECT x.i, agg, v - avg(v) OVER (PARTITION BY agg) AS v FROM x JOIN blk ON blk.i = x.i),
 bad AS MATERIALIZED (SELECT agg FROM pm GROUP BY agg HAVING count(*) > 1 AND greatest(avg(v * v), max(abs(v))) > 0.4)"""
 #: A second elimination, on what the first one leaves.
@@ -242,6 +249,7 @@ ORACLES: dict[str, str] = {
     "jacobi_4": _sql("SELECT i, round(x, 6) + 0 AS v FROM j4", *_JACOBI),
     "lambda_max_power": _sql("SELECT round((SELECT sqrt(sum(x * x)) FROM h8) / (SELECT sqrt(sum(x * x)) FROM h7), 6) AS v", *_POWER),
     "cg_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3, "1")),
+    "smoothing_power": _sql("SELECT round((SELECT sqrt(sum(x * x)) FROM q4) / (SELECT sqrt(sum(x * x)) FROM q3), 6) AS v", _BLOCKS, _BASIS, *_COMPLEMENT),
     "p_to_s": _sql("""SELECT i, agg, CAST(k AS INTEGER) AS k, round(CASE WHEN m = k + 1 THEN -k ELSE 1 END / sqrt(CAST(k * (k + 1) AS DOUBLE)), 6) AS v FROM (
         SELECT i, agg, m, unnest(range(greatest(m - 1, 1), n)) AS k FROM (SELECT i, agg, row_number() OVER (PARTITION BY agg ORDER BY i) AS m, count(*) OVER (PARTITION BY agg) AS n FROM blk))""", _BLOCKS),
     "cr_split": _sql("""SELECT pm.i, CASE WHEN bad.agg IS NOT NULL AND v < 0 THEN min(CASE WHEN v < 0 THEN pm.i END) OVER (PARTITION BY pm.agg) ELSE pm.agg END AS agg FROM pm LEFT JOIN bad ON bad.agg = pm.agg""", _BLOCKS, _BAD),

@@ -12,7 +12,7 @@ from quillgraph import semiring as sr
 from quillgraph.graphs import hashed_value, hashed_vector, table
 from quillgraph.operators import aggregation, elimination, graph, linalg, smoothers, strength
 from quillgraph.plans import hierarchy
-from quillgraph.plans.eigen import largest_pairs, smallest_pairs
+from quillgraph.plans.eigen import largest_pairs, smallest_pairs, smoothing_eigenvalue
 from quillgraph.plans.hierarchy import largest_eigenvalue, strengths
 from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner, no_preconditioner
 from quillgraph.plans.options import Options
@@ -564,6 +564,13 @@ def p_to_s(spark, sf_dir):
     return shown(smoothers.orthogonal_basis(_blocks(matrix_of(spark, sf_dir))))
 
 
+@query
+def smoothing_power(spark, sf_dir):
+    """The largest eigenvalue of what aggregates of eight ids leave to smoothing, by four power steps."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    return spark.createDataFrame([(round(smoothing_eigenvalue(lap, _blocks(lap), 4), 6),)], "v double")
+
+
 @query
 def cg_k(spark, sf_dir):
     """Three iterations from zero without a preconditioner."""

@@ -11,7 +11,7 @@ from quillgraph.plans import hierarchy
 from quillgraph.plans.eigen import largest_pairs, smallest_pairs
 from quillgraph.plans.krylov import METHODS, conjugate_gradients, jacobi_preconditioner, no_preconditioner
 from quillgraph.plans.options import Options
-from quillgraph.plans.solver import Solver
+from quillgraph.plans.solver import Solver, sweep, time_products
 from quillgraph.storage import materialize
 
 SIDE = 6
@@ -218,6 +218,14 @@ def test_neighbours_of_neighbours_may_be_joined(spark):
     assert count(True) <= count(False)
 
 
+def test_sweep_and_timing(spark, grid):
+    lap, dense = grid
+    b = linalg.orthogonalize(graphs.hashed_vector(linalg.vertices(lap)))
+    rows = sweep(lap, b, "grid", Options(min_size=10**9), smoother=["jacobi"], outer=["cg", "fcg"]).collect()
+    assert [(r["smoother"], r["outer"], r["graph"]) for r in rows] == [("jacobi", "cg", "grid"), ("jacobi", "fcg", "grid")]
+    assert time_products(lap, b, True, 1, 2) > 0
+
+
 def test_dump_and_record(spark, grid, tmp_path):
     lap, dense = grid
     solver = Solver(lap, Options(min_size=10**9))
