@@ -32,8 +32,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")).join(classes, "_key")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "rows")).alias("w"))
     first = materialize(first.select("w._key", "w.rows"), "kept")
-    chosen = keyed.join(first.where("rows = 1"), "_key", "left_semi").select(*docs.columns)
-    repeated = keyed.join(first.where("rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    several = materialize(first.where("rows > 1"), "kept_of_several")
+    # as many keys as documents: a shuffle at every size; those of repeated rows are a table of their own and mostly few
+    chosen = keyed.join(first.where("rows = 1").hint("merge"), "_key", "left_semi").select(*docs.columns)
+    repeated = keyed.join(several, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return chosen.unionByName(repeated).unionByName(wordless)
 
