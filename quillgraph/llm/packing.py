@@ -78,10 +78,12 @@ class WordEncoder:
         for text in texts:
             if text is None or text == "":
                 split.append([])
-            elif NOT_LATIN.search(text) or any(s in text for s in self.special):
+                continue
+            small = text.lower()  # some Latin capitals have small letters beyond the Latin range
+            if NOT_LATIN.search(text) or NOT_LATIN.search(small) or any(s in text for s in self.special):
                 split.append(text)
             else:
-                words = _LATIN_WORDS.findall(text.lower())
+                words = _LATIN_WORDS.findall(small)
                 new.update(words)
                 split.append(words)
         if missing := sorted(w for w in new if w not in self.known and len(w) <= LONGEST_CACHED):
