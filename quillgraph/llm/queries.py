@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import byte_bpe, chat, pii, quality, warc
+from quillgraph.llm import byte_bpe, chat, pii, quality, url_filters, warc
+from quillgraph.llm.collocations import collocations
 from quillgraph.llm.embedding_dedup import near_duplicates
 from quillgraph.llm.neighbours import nearest
 from quillgraph.llm.ngram_join import ngram_classes
 from quillgraph.llm.packing import pack_documents
+from quillgraph.llm.periodic_runs import periodic_runs, repeated_by_id
 from quillgraph.llm.text import vocabulary
 from quillgraph.llm.token_counts import count_tokens
 
@@ -102,6 +104,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), repeated_by_id)
+
+
+#: The longest that fits a page decides.
+URL_RULES = [url_filters.Rule(*r) for r in (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled where its path names a labelled document (``/<language>/<doc_id>``): good if that one has quality
+    1 and is not toxic, by all of its labels."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filters.host_and_path(F.col("url"))
+    number = F.regexp_extract(path, "^/[a-z]+/([0-9]{1,18})(?![0-9])", 1)
+    named = pages.select(host.alias("host"), F.when(number != "", number.cast("long")).alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = labels.groupBy("doc_id").agg(F.min(F.when(bad, 0).when(F.col("quality").isNotNull(), 1)).alias("good"))
+    return url_filters.judge(pages, url_filters.reputations(named.join(outcomes, "doc_id", "left")), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
@@ -113,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_url_filters": op13_url_filters,
 }
 
 _OP1 = r"""
@@ -175,4 +205,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_join": _OP1, "op4_embedding_dedup": _OP4, "op5_warc": _OP5, "op7_chat": _OP7}
+_OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS ks(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, s, unnest(range(1, k)) AS cut FROM c),
+scored AS (SELECT u.lang, u.k, u.phrase, u.a, u.cut, x.a AS l, y.a AS r, CAST(u.a::HUGEINT * u.a::HUGEINT * 1000000 // (x.a::HUGEINT * y.a::HUGEINT) AS BIGINT) AS score FROM cuts u
+    JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.s[1:u.cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.s[u.cut+1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+around AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, array_to_string(s[1:k-1], ' ') AS phrase, a FROM c WHERE k > 2 UNION ALL SELECT lang, array_to_string(s[2:], ' '), a FROM c WHERE k > 2) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.m IS NULL OR 100 * o.m < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
+def _weight(name: str, n: str, k: str, of: str) -> str:
+    """``name`` (w): what the prior of ``of`` (``n``, ``k``, m: prior mean) counts for."""
+    rho = f"coalesce(sum(({k} - {n} * m) * ({k} - {n} * m) - {n} * m * (1 - m)) / nullif(sum(({n} - 1) * {n} * m * (1 - m)), 0), 0)"
+    return f"{name} AS MATERIALIZED (SELECT 1 / least(greatest({rho}, 1 / 1001e0), 0.5e0) - 1 AS w FROM {of})"
+
+
+_OP13 = rf"""
+WITH h AS MATERIALIZED (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS MATERIALIZED (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM h),
+t AS MATERIALIZED (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS site, try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})(?:[^0-9]|$)', 1), '') AS BIGINT) AS doc_id FROM u),
+o AS (SELECT doc_id, min(CASE WHEN quality = 0 OR toxic = 1 THEN 0 WHEN quality IS NOT NULL THEN 1 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+s AS MATERIALIZED (SELECT site, count(good) AS n, coalesce(sum(good), 0) AS k FROM t LEFT JOIN o ON o.doc_id = t.doc_id GROUP BY site),
+s2 AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(site, '^[0-9.]*$') OR site LIKE '[%' THEN '' WHEN regexp_matches(site, '(?:^|\.)(?:{"|".join(url_filters.SECOND_LEVEL)})\.[a-z]{{2}}$') THEN regexp_extract(site, '((?:{"|".join(url_filters.SECOND_LEVEL)})\.[a-z]{{2}})$', 1)
+    ELSE regexp_extract(site, '([^.]*)$', 1) END AS suffix FROM s),
+s3 AS MATERIALIZED (SELECT *, CASE WHEN suffix = '' OR length(suffix) >= length(site) THEN site ELSE regexp_extract(substr(site, 1, length(site) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix END AS domain FROM s2),
+dm AS MATERIALIZED (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM s3 GROUP BY 1, 2), sx AS MATERIALIZED (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM dm GROUP BY 1),
+top AS MATERIALIZED (SELECT *, ((SELECT sum(sk) FROM sx) - sk + 1e0) / ((SELECT sum(sn) FROM sx) - sn + 2e0) AS m FROM sx), {_weight("w1", "sn", "sk", "top")},
+mid AS MATERIALIZED (SELECT domain, dn, dk, (sk - dk + w * m) / (sn - dn + w) AS m FROM dm JOIN top ON top.suffix = dm.suffix, w1), {_weight("w2", "dn", "dk", "mid")},
+low AS MATERIALIZED (SELECT site, n, k, (dk - k + w * m) / (dn - n + w) AS m FROM s3 JOIN mid ON mid.domain = s3.domain, w2), {_weight("w3", "n", "k", "low")},
+post AS (SELECT site, k + w * m AS g, n - k + w * (1 - m) AS b FROM low, w3),
+bad AS (SELECT site FROM post WHERE least(1, g / (g + b) + 1.645e0 * sqrt(g / (g + b) * (1 - g / (g + b)) / (g + b + 1))) < 0.5e0),
+ru AS (SELECT page_id, host, path, t.site, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM t)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN site IN (FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ru
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": _OP1, "op4_embedding_dedup": _OP4, "op5_warc": _OP5, "op7_chat": _OP7, "op11_collocations": _OP11, "op13_url_filters": _OP13}
