@@ -108,13 +108,21 @@ def _checked(found: DataFrame) -> DataFrame:
 
 
 def with_payloads(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``resolved`` with the other columns of ``payloads`` (record_id unique, ...), null where nothing was resolved."""
-    return resolved.join(payloads.withColumnRenamed("record_id", "response_id"), "response_id", "left")
+    """``resolved`` with the other columns of ``payloads`` (record_id, ...), null where nothing was resolved. Of several rows of a
+    record_id one stays, the least by all columns; those of a null one are left out. Columns of ``payloads`` that are
+    named like those of ``resolved`` raise: both could not be told apart."""
+    others = [c for c in payloads.columns if c != "record_id"]
+    if clashing := set(others) & set(resolved.columns):
+        raise ValueError(f"rename these columns of the payloads: {sorted(clashing)}")
+    once = payloads.where("record_id is not null").groupBy(F.col("record_id").alias("response_id")).agg(F.min(F.struct(*others)).alias("payload"))
+    return resolved.join(once, "response_id", "left").select("*", "payload.*").drop("payload")
 
 
 # ---- files
 
-_RECORD = "record_id string, warc_type string, status int, url string, captured timestamp, headers map<string,string>, body binary"
+_RECORD = "record_id string, warc_type string, status int, url string, captured timestamp, headers map<string,string>, body binary, offset long, error string"
+_COLUMNS = [c.split()[0] for c in _RECORD.split(", ")]
+STEP = 1 << 20
 
 
 def _fields(block: bytes) -> tuple[str, dict[str, str]]:
@@ -129,70 +137,123 @@ def _fields(block: bytes) -> tuple[str, dict[str, str]]:
     return first, found
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The bytes of a file, gzipped in one or more members or not. A cut-off or damaged member ends the file."""
+class Damaged(ValueError):
+    """What can't be read, and where."""
+
+
+def _inflated(raw: bytes) -> Iterator[bytes | Damaged]:
+    """The bytes of a file in steps, gzipped in one or more members or not. A member that is damaged or cut off gives an error
+    in its place, and reading goes on at the next one."""
+    view, at = memoryview(raw), 0
     if raw[:2] != b"\x1f\x8b":
-        yield raw
+        while at < len(view):
+            yield bytes(view[at : at + STEP])
+            at += STEP
         return
-    rest = memoryview(raw)
-    while len(rest):
-        member = zlib.decompressobj(31)
-        while not member.eof and len(rest):
-            step = rest[: 1 << 20]
-            try:
+    while at < len(view):
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while not member.eof and at < len(view):
+                step = view[at : at + STEP]
                 yield member.decompress(step)
-            except zlib.error:
-                return
-            rest = rest[len(step) - len(member.unused_data) :]
-
-
-def _record(data: bytes) -> tuple[tuple | None, int]:
-    """The first record in ``data`` and its end; none where there is no whole one yet."""
-    at = data.find(b"WARC/")
-    end = data.find(b"\r\n\r\n", at) if at >= 0 else -1
-    if end < 0:
-        return None, 0
-    _, warc = _fields(data[at:end])
-    size = warc.get("content-length", "")
-    if not re.fullmatch("[0-9]{1,18}", size):
-        raise ValueError("a record without a length")
-    to = end + 4 + int(size)
-    if to > len(data):
-        return None, 0
-    block = data[end + 4 : to]
+                at += len(step) - len(member.unused_data)
+            if not member.eof:
+                yield Damaged(f"gzip member at byte {begin} is cut off")
+        except zlib.error as error:
+            yield Damaged(f"gzip member at byte {begin}: {error}")
+            following = raw.find(b"\x1f\x8b\x08", begin + 3)
+            at = following if following >= 0 else len(view)
+
+
+def _record(head: bytes, block: bytes) -> tuple:
+    _, warc = _fields(head)
     is_http = block.startswith(b"HTTP/")
-    head, _, body = block.partition(b"\r\n\r\n")
-    first, headers = _fields(head) if is_http else ("", {})
+    front, _, body = block.partition(b"\r\n\r\n")
+    first, headers = _fields(front) if is_http else ("", {})
     status = re.match(r"\S+ ([0-9]{1,9})(?: |$)", first)
     captured = pd.to_datetime(warc.get("warc-date"), errors="coerce", utc=True)
     when = None if pd.isna(captured) else captured.tz_localize(None)
-    return (warc.get("warc-record-id"), warc.get("warc-type"), int(status[1]) if status else None, warc.get("warc-target-uri"), when, headers, body if is_http else block), to
+    return warc.get("warc-record-id"), warc.get("warc-type"), int(status[1]) if status else None, warc.get("warc-target-uri"), when, headers, body if is_http else block
+
+
+class _Reader:
+    """Records out of the bytes that have come in so far. Each byte is taken in and given out once: ``wanted`` says how many
+    must be there before it is worth looking again."""
+
+    def __init__(self) -> None:
+        self.data, self.gone, self.wanted = bytearray(), 0, 0
+
+    def take(self, more: bytes) -> Iterator[tuple]:
+        self.data += more
+        while len(self.data) >= max(self.wanted, 1):
+            at = self.data.find(b"WARC/")
+            if at < 0:
+                self._drop(max(0, len(self.data) - 4))
+                break
+            self._drop(at)
+            end = self.data.find(b"\r\n\r\n")
+            if end < 0:
+                self.wanted = len(self.data) + 1
+                break
+            head = bytes(self.data[:end])
+            size = _fields(head)[1].get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                yield self.failed("a record without a length")
+                self._drop(5)
+                continue
+            to = end + 4 + int(size)
+            if to > len(self.data):
+                self.wanted = to
+                break
+            yield *_record(head, bytes(self.data[end + 4 : to])), self.gone, None
+            self._drop(to)
+
+    def _drop(self, count: int) -> None:
+        del self.data[:count]
+        self.gone += count
+        self.wanted = 0 if count else self.wanted
+
+    def failed(self, why: str) -> tuple:
+        return (None,) * 7 + (self.gone, why)
+
+    def cut(self, why: str) -> Iterator[tuple]:
+        """What is left is no whole record: an error, and on with what follows."""
+        started = self.data.startswith(b"WARC/")
+        if started or why:
+            yield self.failed(why or "a record is cut off")
+        if started:  # a wrong length may have swallowed the records behind it
+            self._drop(5)
+            yield from self.take(b"")
+            if self.data.startswith(b"WARC/"):
+                yield from self.cut("")
+                return
+        self._drop(len(self.data))
 
 
 def parse_records(raw: bytes) -> Iterator[tuple]:
-    """Records of one WARC file, gzipped or not, as they are unzipped. A cut-off last record, or one without a length,
-    ends the file."""
-    data = b""
+    """Records of one WARC file, gzipped or not, as they are unzipped, with their place in the unzipped bytes. What can't be
+    read (a damaged or cut-off gzip member, a record without a length, a cut-off record) gives a row with ``error`` and
+    nothing else but its place; reading goes on at the next member or ``WARC/``."""
+    reader = _Reader()
     for more in _inflated(raw):
-        data += more
-        try:
-            while (found := _record(data))[0]:
-                yield found[0]
-                data = data[found[1] :]
-        except ValueError:
-            return
+        if isinstance(more, Damaged):
+            yield from reader.cut(str(more))
+        else:
+            yield from reader.take(more)
+    yield from reader.cut("")
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for raw in frame["content"]:
+        for path, raw in zip(frame["path"], frame["content"], strict=True):
             records = parse_records(raw)
             while some := list(islice(records, 256)):
-                yield pd.DataFrame(some, columns=["record_id", "warc_type", "status", "url", "captured", "headers", "body"]).astype({"status": "Int32"})
+                yield pd.DataFrame(some, columns=_COLUMNS).astype({"status": "Int32"}).assign(file=path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below ``path``, one task a file (of at most 2 GB): what :func:`resolve` takes, and body.
-    Times are UTC; the session's time zone must be too."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_parsed, _RECORD)
+    """Records of the WARC files below ``path``, one task a file (of at most 2 GB), in time linear in its bytes: what
+    :func:`resolve` takes, and body, offset (in the unzipped bytes), error, file. Rows with an ``error`` have no record;
+    :func:`resolve` passes them over. Times are UTC; the session's time zone must be too."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_parsed, f"{_RECORD}, file string")

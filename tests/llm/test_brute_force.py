@@ -265,14 +265,54 @@ def test_warc_files(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nA: 1\r\na: 2\r\n\r\nbody \r\n\r\nWARC/1.0"
     records = [record("a", http), record("b", b"plain"), record("c", b"x" * 3_000_000)]
     whole = b"".join(gzip.compress(r) for r in records)
-    for raw, names in ((b"".join(records), "abc"), (whole, "abc"), (gzip.compress(b"".join(records)), "abc"), (whole[:-200], "ab"), (records[0] + record("z", b"12", "\u00b2") + records[1], "a"), (records[0] + records[1][:-8], "a"), (b"", "")):
-        assert [r[0] for r in warc.parse_records(raw)] == [f"<{n}>" for n in names]
+    for raw, names in ((b"".join(records), "abc"), (whole, "abc"), (gzip.compress(b"".join(records)), "abc"), (whole[:-200], "ab"), (records[0] + record("z", b"12", "\u00b2") + records[1], "ab"), (records[0] + records[1][:-8], "a"), (b"", "")):
+        assert [r[0] for r in warc.parse_records(raw) if r[8] is None] == [f"<{n}>" for n in names]
     first = next(warc.parse_records(whole))
     assert first[2] == 200 and first[5] == {"a": "1, 2"} and first[6] == b"body \r\n\r\nWARC/1.0"
     (tmp_path / "a.warc.gz").write_bytes(whole)
     assert sorted((r["record_id"], len(r["body"])) for r in warc.read_warc(spark, str(tmp_path)).collect()) == [("<a>", 17), ("<b>", 5), ("<c>", 3_000_000)]
 
 
+def test_damaged_warc_files_say_so(spark, tmp_path):
+    """Damage costs its own record and an error row; reading goes on behind it, in time linear in the file."""
+    import gzip
+    import time
+
+    from quillgraph.llm import warc
+
+    record = lambda n, body, size=None: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{n}>\r\nContent-Length: {size or len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    a, b, c = record("a", b"one"), record("b", bytes(range(256)) * 40), record("c", b"three")
+    zipped = [gzip.compress(x) for x in (a, b, c)]
+    broken = bytearray(zipped[1])
+    broken[40:60] = b"\xff" * 20
+    found = lambda raw: [(r[0], r[8] is None) for r in warc.parse_records(raw)]
+    assert found(zipped[0] + bytes(broken) + zipped[2]) == [("<a>", True), (None, False), ("<c>", True)]
+    assert found(zipped[0] + zipped[1][:-30]) == [("<a>", True), (None, False)]
+    assert found(a + record("x", b"short", 10**9) + c) == [("<a>", True), (None, False), ("<c>", True)]
+    assert found(a + b"junk WARC" + c[:-20]) == [("<a>", True), (None, False)]
+    assert [r[7] for r in warc.parse_records(a + b"WARC/1.0\r\nNo: length\r\n\r\n" + c)] == [0, len(a), len(a) + 24]
+    (tmp_path / "x.warc").write_bytes(a + record("x", b"", "?") + c)
+    rows = sorted((r["offset"], r["record_id"], r["error"] is None, r["file"].endswith("x.warc")) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert [r[1:] for r in rows] == [("<a>", True, True), (None, False, True), ("<c>", True, True)]
+    seconds = []
+    for count in (4_000, 32_000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse_records(record("n", b"x" * 1000) * count)) == count
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * seconds[0]
+
+
+def test_payloads_of_repeated_and_clashing_rows(spark):
+    from quillgraph.llm import warc
+
+    resolved = spark.createDataFrame([(1, "u", 7), (2, "u", None)], "record_id long, url string, response_id long")
+    payloads = spark.createDataFrame([(7, "b"), (7, "a"), (7, "a"), (None, "z")], "record_id long, body string")
+    got = warc.with_payloads(resolved, payloads)
+    assert sorted((r["record_id"], r["body"]) for r in got.collect()) == [(1, "a"), (2, None)] and got.columns.count("url") == 1
+    with pytest.raises(ValueError, match="url"):
+        warc.with_payloads(resolved, payloads.withColumnRenamed("body", "url"))
+
+
 def test_warc_repeats(spark):
     """Repeated rows are resolved each, and the latest earlier response of several equal ones is one of them."""
     import datetime
@@ -303,6 +343,19 @@ def test_one_of_each_by_row(spark):
     assert corpus_pipeline.keep_one_of_each(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that stages make come back as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80")
+    names = ["score", "predicted", "stats", "_text", "_key", "_before", "_safe", "_found", "_email", "_name", "spans", "id", "rows", "row", "component_id", "label", "quality", "column_0_of_the_input"]
+    wide = docs.select(*(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names[:9]), "*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names[9:]))
+    for stage in (corpus_pipeline.keep_good, corpus_pipeline.keep_one_of_each, corpus_pipeline.redact):
+        out, plain = stage(spark, wide, SF), stage(spark, docs, SF)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rows) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in plain.collect())
+
+
 def test_run_is_its_stages(spark, tmp_path):
     """run() on a table with nulls and repeats against the stages' plain versions."""
     from tokenizers import Tokenizer
