@@ -26,6 +26,14 @@ def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bipartite(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_partkey"))
 
 
+def with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-part graph and an edge from each order to its status, a vertex of negative id: hubs of up to half of all
+    orders."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("i"), (F.col("l_partkey") * 2 + 1).alias("j"))
+    states = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("i"), (-F.ascii("o_orderstatus").cast("long")).alias("j"))
+    return mirrored(lines.unionByName(states).groupBy("i", "j").agg(F.count("*").cast("double").alias("w")))
+
+
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bipartite(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_suppkey"))
 
@@ -39,8 +47,10 @@ def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_value(i: Column, k: int) -> Column:
-    """A fixed pseudo-random value in [0, 1) of vertex ``i`` in vector ``k``."""
-    return ((i * 1103515245 + 12345 + k * 7919 * (i + 1)) % 2147483648).cast("double") / F.lit(2147483648.0)
+    """A fixed pseudo-random value in [0, 1) of vertex ``i`` in vector ``k``: 32 bits of a digest of both, so that vectors are
+    independent draws whatever the ids. Four vectors share a digest."""
+    digest = F.md5(F.concat_ws(":", i.cast("string"), F.lit(str(k // 4))).cast("binary"))
+    return F.conv(F.substring(digest, 8 * (k % 4) + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def hashed_vector(ids: DataFrame, k: int = 0) -> DataFrame:

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.operators import linalg
+from quillgraph.operators import dealt, linalg
 from quillgraph.operators.graph import conductance_ratio
 from quillgraph.storage import discard, materialize, measured
 
+#: Members of one root that are ranked in one task.
+PART_MEMBERS = 1 << 16
+
 
 def initial(ids: DataFrame) -> DataFrame:
     """(i, ind, state, votes)"""
@@ -24,7 +27,7 @@ def initial(ids: DataFrame) -> DataFrame:
 def vote(strength: DataFrame, states: DataFrame, threshold: float) -> DataFrame:
     """(i, prio, weight, j, ind): the best neighbour: open seeds above the threshold, then undecided ones, then others;
     within those the strongest."""
-    met = strength.join(states.select(F.col("i").alias("j"), "ind", "state"), "j")
+    met = dealt.meet(strength, states.select("i", "ind", "state"))
     prio = F.when(F.col("state").isin("S", "N") & (F.col("v") > threshold), 2).when(F.col("state") == "U", 1).otherwise(0)
     best = met.groupBy("i").agg(F.max(F.struct(prio.alias("prio"), F.col("v").alias("weight"), "j", "ind")).alias("b"))
     return best.select("i", "b.*")
@@ -65,8 +68,12 @@ def reject_large(states: DataFrame, strength: DataFrame, max_size: int) -> DataF
     sizes = states.where("ind <> i").groupBy("ind").agg(F.count("*").alias("size")).where(F.col("size") > max_size)
     tie = strength.select("i", F.col("j").alias("ind"), F.col("v").alias("tie"))
     members = states.where("ind <> i").join(sizes, "ind").join(tie, ["i", "ind"], "left")
-    place = F.row_number().over(Window.partitionBy("ind").orderBy(F.desc(F.coalesce("tie", F.lit(0.0))), "i"))
-    surplus = members.select("i", place.alias("place")).where(F.col("place") > max_size).select("i", F.lit(True).alias("goes"))
+    # a root may have most vertices: the best are found among the best of each part of its members
+    order = F.desc(F.coalesce("tie", F.lit(0.0))), F.col("i")
+    parts = Window.partitionBy("ind", F.pmod(F.xxhash64("i"), F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(PART_MEMBERS))))).orderBy(*order)
+    best = members.withColumn("place", F.row_number().over(parts)).where(F.col("place") <= max_size)
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("ind").orderBy(*order))).where(F.col("place") <= max_size)
+    surplus = members.select("i").join(best.select("i"), "i", "left_anti").select("i", F.lit(True).alias("goes"))
     closing = sizes.select(F.col("ind").alias("i"), F.lit(True).alias("closes"))
     all_ = states.join(surplus, "i", "left").join(closing, "i", "left")
     ind = F.when(F.col("goes"), F.col("i")).otherwise(F.col("ind"))
@@ -82,20 +89,26 @@ def reject_loose(states: DataFrame, adj: DataFrame, ratio: float, to_seed: bool
 
 
 def aggregate(strength: DataFrame, ids: DataFrame, rounds: int = 10, init_factor: float = 0.5, iter_factor: float = 0.5, votes_to_seed: float = 1.0,
-              max_size: int = -1, adj: DataFrame | None = None, rejection_ratio: float = -1.0, rejection_to_seed: bool = False, spread: bool = False) -> DataFrame:
+              max_size: int = -1, adj: DataFrame | None = None, rejection_ratio: float = -1.0, rejection_to_seed: bool = False, spread: bool = False,
+              start: DataFrame | None = None, trace: dict[str, DataFrame] | None = None) -> DataFrame:
     """States after all rounds, a written table; rounds that could change nothing are left out. ``strength`` must be cheap
-    to read again (written). ``spread``: those who join a seed may be joined in turn."""
+    to read again (written). ``spread``: those who join a seed may be joined in turn. ``start``: states to go on from.
+    ``trace``: gets each round's ``agg_state_<k>`` and ``voting_for_<k>``, which then stay."""
     sums = materialize(linalg.reduce_columns(strength), "column_sums")
-    states = materialize(initial(ids), "states")
+    states = materialize(initial(ids) if start is None else start, "states")
     for k in range(rounds):
-        after = one_round(strength, sums, states, k, init_factor * iter_factor**k, votes_to_seed, max_size, spread)
+        threshold = init_factor * iter_factor**k
+        if trace is not None:
+            trace[f"agg_state_{k}"], trace[f"voting_for_{k}"] = states, materialize(tally(states, vote(strength, states, threshold), threshold)[0], "voting_for")
+        after = one_round(strength, sums, states, k if start is None else k + 1, threshold, votes_to_seed, max_size, spread)
         if max_size > 0:
             after = reject_large(after, strength, max_size)
         if adj is not None and rejection_ratio >= 0 and k >= rounds / 2:
             after = reject_loose(after, adj, rejection_ratio, rejection_to_seed)
         before = states
         states, s = measured(after, "states", open=F.count(F.when(F.col("state").isin("U", "S"), 1)))
-        discard(before)
+        if trace is None:
+            discard(before)
         if not s["open"] and max_size <= 0 and rejection_ratio < 0:
             break  # nobody is undecided and every seed is closed
     discard(sums)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.operators import dealt
 from quillgraph.semiring import PLUS_TIMES, Semiring
 from quillgraph.storage import materialize
 
@@ -57,8 +58,8 @@ def from_triples(rows: DataFrame) -> DataFrame:
 
 def spmv(a: DataFrame, x: DataFrame, semiring: Semiring = PLUS_TIMES, domain: DataFrame | None = None) -> DataFrame:
     """y_i = add over j of mul(a_ij, x_j). Without a ``domain`` (rows i) the result is sparse: rows that meet no entry of
-    ``x`` are absent."""
-    met = a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j")
+    ``x`` are absent. Hubs of a matrix that :func:`quillgraph.operators.dealt.deal` has dealt are met in parts."""
+    met = dealt.meet(a, x.select("i", F.col("v").alias("x")))
     y = met.groupBy("i").agg(semiring.add(semiring.mul(F.col("v"), F.col("x"))).alias("v"))
     if domain is not None:
         y = domain.select("i").join(y, "i", "left")

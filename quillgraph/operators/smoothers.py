@@ -4,16 +4,18 @@ counted the vertices and found them few enough to broadcast; the matrix is then
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from quillgraph.operators import linalg
+from quillgraph.operators import dealt, linalg
+from quillgraph.storage import materialize
 
 
 def _met(lap: DataFrame, state: DataFrame, small: bool) -> DataFrame:
-    state = state.withColumnRenamed("i", "j")
-    return lap.join(F.broadcast(state) if small else state, "j")
+    return dealt.meet(lap, state, small=small)
 
 
 def _own(column: str) -> Column:
@@ -142,9 +144,57 @@ def orthogonal_basis(assign: DataFrame) -> DataFrame:
     return sized.select("i", "agg", "m", F.explode(columns).alias("k")).select("i", "agg", "k", value.alias("v"))
 
 
-def complement_step(lap: DataFrame, basis: DataFrame, x: DataFrame) -> DataFrame:
-    """Sᵀ D⁻¹ A S x for the basis S (i, agg, k, v) of what an aggregation leaves to smoothing; ``x`` is (agg, k, x). The
-    eigenvalues of this operator say how well a Jacobi-like smoother does what the coarse level can't."""
-    fine = basis.join(x, ["agg", "k"]).groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-    scaled = linalg.spmv(lap, fine).join(linalg.diagonal(lap).withColumnRenamed("v", "d"), "i").select("i", (F.col("v") / F.col("d")).alias("y"))
-    return basis.join(scaled, "i").groupBy("agg", "k").agg(F.sum(F.col("v") * F.col("y")).alias("x"))
+def _earlier() -> WindowSpec:
+    """The parts of an aggregate before this one; there are as many as range partitions at most."""
+    return Window.partitionBy("agg").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+
+
+@dataclass
+class Complement:
+    """The basis of :func:`orthogonal_basis` as an operator, without its columns: the coefficient of column k of an
+    aggregate lives on the aggregate's member k + 1, so coefficients are a vector (i, v) over all vertices but the first of
+    each aggregate. Both products are running sums within aggregates, whose members are written in order by range
+    partitions: an aggregate of any size is no task's alone, and rows are as many as vertices."""
+
+    members: DataFrame
+
+    @classmethod
+    def of(cls, assign: DataFrame) -> Complement:
+        """From (i, agg)."""
+        spark = assign.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = materialize(assign.select("i", "agg").repartitionByRange(parts, "agg", "i").withColumn("at", F.spark_partition_id()), "ranged")
+        sizes = ranged.groupBy("agg", "at").agg(F.count("*").alias("n"))
+        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(_earlier()), F.lit(0))).select("agg", "at", "before")
+        placed = ranged.withColumn("own", F.row_number().over(Window.partitionBy("agg", "at").orderBy("i"))).join(before, ["agg", "at"])
+        return cls(materialize(placed.select("i", "agg", "at", (F.col("before") + F.col("own")).cast("double").alias("m")), "members"))
+
+    def coefficients(self) -> DataFrame:
+        """(i, agg, k): where the coefficients live."""
+        return self.members.where("m > 1").select("i", "agg", (F.col("m") - 1).cast("long").alias("k"))
+
+    def _running(self, values: DataFrame) -> DataFrame:
+        """``values`` (i, v) beside agg, at, m; ``upto``: their sum over the members up to this one, and ``total`` over all."""
+        placed = self.members.join(values, "i", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+        parts = placed.groupBy("agg", "at").agg(F.sum("v").alias("part"))
+        carried = parts.select("agg", "at", F.coalesce(F.sum("part").over(_earlier()), F.lit(0.0)).alias("before"), F.sum("part").over(Window.partitionBy("agg")).alias("total"))
+        here = Window.partitionBy("agg", "at").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+        return placed.withColumn("here", F.sum("v").over(here)).join(carried, ["agg", "at"]).withColumn("upto", F.col("before") + F.col("here"))
+
+    def expand(self, x: DataFrame) -> DataFrame:
+        """S x: (i, v) over all vertices."""
+        scaled = x.join(self.members.select("i", "m"), "i").select("i", (F.col("v") / F.sqrt(F.col("m") * (F.col("m") - 1))).alias("v"))
+        return self._running(scaled).select("i", (F.col("total") - F.col("upto") - (F.col("m") - 1) * F.col("v")).alias("v"))
+
+    def project(self, y: DataFrame) -> DataFrame:
+        """Sᵀ y: coefficients."""
+        m = F.col("m")
+        return self._running(y).where("m > 1").select("i", ((F.col("upto") - F.col("v") - (m - 1) * F.col("v")) / F.sqrt(m * (m - 1))).alias("v"))
+
+    def step(self, lap: DataFrame, x: DataFrame) -> DataFrame:
+        """Sᵀ D⁻¹ A S x for coefficients x. The eigenvalues of this operator say how well a Jacobi-like smoother does what
+        the coarse level can't."""
+        scaled = linalg.spmv(lap, self.expand(x)).join(linalg.diagonal(lap).withColumnRenamed("v", "d"), "i").select("i", (F.col("v") / F.col("d")).alias("v"))
+        return self.project(scaled)
+
+

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.graphs import hashed_value
-from quillgraph.operators import linalg
+from quillgraph.operators import dealt, linalg
 
 
 def test_vectors(ids: DataFrame, count: int = 10) -> DataFrame:
@@ -18,7 +18,7 @@ def test_vectors(ids: DataFrame, count: int = 10) -> DataFrame:
 
 def smooth(lap: DataFrame, vectors: DataFrame, count: int, omega: float = 2.0 / 3.0) -> DataFrame:
     """One weighted Jacobi sweep with a zero right-hand side on all vectors at once: one join, one group-by."""
-    met = lap.join(vectors.withColumnRenamed("i", "j"), "j")
+    met = dealt.meet(lap, vectors)
     own = F.col("i") == F.col("j")
     sums = [F.sum(F.when(F.col("v") < 0, F.col("v") * F.col("xs")[k])).alias(f"s{k}") for k in range(count)]
     kept = met.groupBy("i").agg(*sums, F.max(F.when(own, F.col("v"))).alias("d"), F.max(F.when(own, F.col("xs"))).alias("xs"))
@@ -27,8 +27,8 @@ def smooth(lap: DataFrame, vectors: DataFrame, count: int, omega: float = 2.0 /
 
 
 def _of_edges(lap: DataFrame, vectors: DataFrame) -> DataFrame:
-    edges = lap.where("i <> j").join(vectors.withColumnRenamed("xs", "xi"), "i")
-    return edges.join(vectors.select(F.col("i").alias("j"), F.col("xs").alias("xj")), "j")
+    edges = dealt.meet(lap, vectors.withColumnRenamed("xs", "xj")).where("i <> j")
+    return dealt.meet(edges, vectors.withColumnRenamed("xs", "xi"), "i", hubs=getattr(lap, "_quill_hubs", None))
 
 
 def _sum(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _hash(i: str, k: int) -> str:
-    return f"(CAST(({i} * 1103515245 + 12345 + {k} * 7919 * ({i} + 1)) % 2147483648 AS DOUBLE) / 2147483648.0)"
+    return f"(CAST(CAST('0x' || substr(md5(CAST({i} AS VARCHAR) || ':{k // 4}'), {8 * (k % 4) + 1}, 8) AS BIGINT) AS DOUBLE) / 4294967296e0)"
 
 
 def _edges(rows: str, left: str, right: str) -> str:
@@ -139,6 +139,17 @@ def _fixed(i: str) -> str:
     return f"(({i} * 37 % 1000) / 1000e0)"
 
 
+_HUBS = f"""e0 AS MATERIALIZED (SELECT i, j, CAST(count(*) AS DOUBLE) AS w FROM (SELECT l_orderkey * 2 AS i, l_partkey * 2 + 1 AS j FROM lineitem UNION ALL SELECT o_orderkey * 2, -ascii(o_orderstatus) FROM orders) GROUP BY 1, 2), {_BOTH},
+ids AS MATERIALIZED (SELECT DISTINCT i FROM adj), lap AS MATERIALIZED (SELECT i, j, -w AS v FROM adj UNION ALL SELECT i, i, sum(w) AS v FROM adj GROUP BY i),
+t0 AS MATERIALIZED (SELECT i, k, h - avg(h) OVER (PARTITION BY k) AS x FROM ({' UNION ALL '.join(f'SELECT i, {k} AS k, {_hash("i", k)} AS h FROM ids' for k in range(4))}))"""
+#: Test vectors after two sweeps, aggregates' means taken out after each.
+_CR = [f"p0 AS MATERIALIZED (SELECT i, k, h - avg(h) OVER (PARTITION BY k) AS x FROM ({' UNION ALL '.join(f'SELECT i, {k} AS k, {_hash("i", k)} AS h FROM ids' for k in range(4))}))"] + [
+    f"""p{n + 1} AS MATERIALIZED (SELECT s.i, s.k, s.x - avg(s.x) OVER (PARTITION BY s.k, b.agg) AS x FROM (SELECT a.i, t.k, (2e0/3e0) * (0 - sum(CASE WHEN a.v < 0 THEN a.v * t.x ELSE 0 END)) / max(CASE WHEN a.i = a.j THEN a.v END)
+    + (1 - 2e0/3e0) * max(CASE WHEN a.i = a.j THEN t.x END) AS x FROM lap a JOIN p{n} t ON t.i = a.j GROUP BY a.i, t.k) s JOIN blk b ON b.i = s.i)"""
+    for n in range(2)
+]
+
+
 _SIGMA = "CAST(1.4 AS DOUBLE) / 0.8"  # bounds of 0.6 and 2.2
 ORACLES: dict[str, str] = {
     "scan_edges": _sql("SELECT i, j, w AS v FROM adj"),
@@ -227,6 +238,21 @@ ORACLES: dict[str, str] = {
     "cr_bad_aggregates": _sql("""SELECT agg, round(avg(v * v), 6) AS norm2, round(max(abs(v)), 6) AS norm_inf, count(*) AS size FROM (SELECT agg, v - avg(v) OVER (PARTITION BY agg) AS v FROM x JOIN blk ON blk.i = x.i)
         GROUP BY agg HAVING count(*) > 1 AND greatest(avg(v * v), max(abs(v))) > 0.4""", _BLOCKS),
     "pcg_jacobi_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3)),
+    "spmv_hub": f"WITH {_HUBS}, x AS (SELECT i, {_hash('i', 0)} AS v FROM ids) SELECT a.i, round(sum(a.v * x.v), 6) + 0 AS v FROM lap a JOIN x ON x.i = a.j GROUP BY a.i",
+    "smooth_hub": f"WITH {_HUBS}, {_TV[1]}, {_TV[2]} SELECT i, k, round(x, 6) + 0 AS v FROM t2",
+    "affinity_hub": f"""WITH {_HUBS} SELECT i, j, round(log10(1 + xy * xy / (xx * yy * (xx * yy))), 6) AS v FROM (
+        SELECT a.i, a.j, sum(p.x * q.x) AS xy, sum(p.x * p.x) AS xx, sum(q.x * q.x) AS yy FROM adj a JOIN t0 p ON p.i = a.i JOIN t0 q ON q.i = a.j AND q.k = p.k GROUP BY 1, 2)""",
+    "cooccurrence_hub": """WITH a AS (SELECT i, j, CAST(count(*) AS DOUBLE) AS v FROM (SELECT l_suppkey AS i, l_partkey AS j FROM lineitem UNION ALL SELECT s_suppkey, 0 FROM supplier) GROUP BY 1, 2)
+        SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON b.j = a.j AND a.i <> b.i GROUP BY 1, 2""",
+    "cg_coefficients": _sql(" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, round((SELECT al FROM al{k}), 6) AS alpha, round({'0e0' if k == 0 else f'(SELECT sum(r * z) FROM z{k}) / (SELECT sum(r * z) FROM z{k - 1})'}, 6) AS beta" for k in range(3)), *_cg(3)),
+    "fcg_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3)),
+    "pipecg_k": _sql("SELECT i, round(x, 5) + 0 AS v FROM c3", *_cg(3)),
+    "smallest_eigenpairs": "SELECT CAST(k AS INTEGER) AS k, 0e0 AS away, 1e0 AS length FROM range(3) r(k)",
+    "largest_eigenpairs": "SELECT CAST(k AS INTEGER) AS k, 0e0 AS away, 1e0 AS length FROM range(2) r(k)",
+    "smoothing_eigenpair": "SELECT 0e0 AS away, 1e0 AS length",
+    "cr_smooth": _sql("SELECT i, k, round(x, 6) + 0 AS v FROM p2", _BLOCKS, *_CR),
+    "cr_bad": _sql("""SELECT agg, round(sum(s), 6) AS two, round(sum(m), 6) AS inf, count(*) AS size FROM (SELECT i, sum(x * x) / 4 AS s, max(abs(x)) AS m FROM p2 GROUP BY i) t JOIN blk ON blk.i = t.i
+        GROUP BY agg HAVING count(*) > 1 AND greatest(sum(s), sum(m)) > 0.35""", _BLOCKS, *_CR),
     "solve": f"WITH {_PARTS} SELECT i, round({_fixed('i')} - (SELECT {_fixed('min(i)')} FROM ids), 3) + 0 AS v FROM ids",
     "coarse_solve": f"WITH c AS (SELECT DISTINCT i % 16 AS i FROM (SELECT l_partkey * 2 AS i FROM lineitem UNION SELECT l_suppkey * 2 + 1 FROM lineitem)) SELECT i, round({_fixed('i')} - (SELECT {_fixed('min(i)')} FROM c), 3) + 0 AS v FROM c",
     "two_grid": f"WITH {_PARTS}, b0 AS (SELECT i, {_hash('i', 1)} AS v FROM ids), b AS MATERIALIZED (SELECT i, v - (SELECT avg(v) FROM b0) AS v FROM b0), {', '.join(_two_grid('lap', 'b'))} SELECT i, round(x, 6) + 0 AS v FROM tg",

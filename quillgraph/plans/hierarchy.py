@@ -7,18 +7,20 @@ vertices, by a dense pseudo-inverse whose rows are a table; where coarsening end
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import aggregation, elimination, linalg, smoothers, strength
+from quillgraph.operators import aggregation, compatible, dealt, elimination, linalg, smoothers, strength
 from quillgraph.operators.graph import adjacency
-from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner
+from quillgraph.plans.krylov import conjugate_gradients, eigenvalue_bound, jacobi_preconditioner
 from quillgraph.plans.options import Options
-from quillgraph.storage import bucketed, discard, materialize, measured
+from quillgraph.storage import discard, materialize, measured, scratch
 
 
 @dataclass
@@ -67,6 +69,8 @@ class Aggregation(Level):
     assign: DataFrame | None = None
     largest: float = 2.0
     kind: str = "agg"
+    #: Strengths, and states and votes of each round by name, where they were kept.
+    rounds: dict[str, DataFrame] = field(default_factory=dict)
 
     def work(self, options: Options) -> float:
         return (options.pre_smooth + options.post_smooth + 1) * self.nnz + 3 * self.size
@@ -86,7 +90,7 @@ class Aggregation(Level):
         return self.smooth(state, options, options.post_smooth).select("i", (scale * F.col("x")).alias("v"))
 
     def tables(self) -> dict[str, DataFrame]:
-        return super().tables() | {"R": self.assign}
+        return super().tables() | {"R": self.assign} | self.rounds
 
 
 @dataclass
@@ -100,7 +104,10 @@ class Coarse(Level):
 
     def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
         if self.inverse is None:
-            return conjugate_gradients(self.matrix, b, jacobi_preconditioner(self.matrix), options.coarse_tol, 100 * options.iters, small=self.small).x
+            found = conjugate_gradients(self.matrix, b, jacobi_preconditioner(self.matrix), options.coarse_tol, 100 * options.iters, small=self.small)
+            if found.reason in ("iterations", "diverged"):
+                raise RuntimeError(f"the coarse level of {self.size} vertices was not solved: {found.reason}, residual {found.residuals[-1]:.3g}")
+            return found.x
         known = self.inverse.select("i").join(b, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))
         ordered = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("b"))  # at most coarse_vertices values
         value = F.aggregate(F.zip_with("row", "b", lambda a, x: a * x), F.lit(0.0), lambda s, x: s + x)
@@ -136,7 +143,8 @@ def strengths(lap: DataFrame, options: Options) -> DataFrame:
 @dataclass
 class Counted:
     """A written matrix with its entries and rows, counted while it was written. One with too many rows for a vector to
-    be broadcast is kept in buckets by column, so that products shuffle the vector and not the matrix."""
+    be broadcast is kept in buckets by column, hubs' columns in parts, so that products shuffle the vector and not the
+    matrix."""
 
     matrix: DataFrame
     broadcast_vertices: int = Options.broadcast_vertices
@@ -147,7 +155,7 @@ class Counted:
         self.matrix, s = measured(self.matrix, "level", nnz=F.count("*"), size=F.count(F.when(F.col("i") == F.col("j"), 1)))
         self.nnz, self.size = int(s["nnz"]), int(s["size"])
         if self.size > self.broadcast_vertices:
-            plain, self.matrix = self.matrix, bucketed(self.matrix, "level", "j")
+            plain, self.matrix = self.matrix, dealt.deal(self.matrix, "level", self.nnz)
             discard(plain)
 
 
@@ -188,20 +196,46 @@ def build(lap: DataFrame, options: Options = Options(), tried: bool = False) ->
                 break
         if now.size <= options.coarse_vertices:
             break
-        tied = materialize(strengths(now.matrix, options), "scaled_strength")
-        states = aggregation.aggregate(
-            tied, linalg.vertices(now.matrix), options.agg_iters, options.agg_init_factor, options.agg_iter_factor, options.votes_to_seed, options.max_agg_size, adjacency(now.matrix),
-            options.rejection_ratio, options.rejection_to_seed, options.neighbor_of_neighbor,
+        tied, s = measured(strengths(now.matrix, options), "scaled_strength", n=F.count("*"))
+        if not small():
+            plain, tied = tied, dealt.deal(tied, "scaled_strength", s["n"])
+            discard(plain)
+        trace: dict[str, DataFrame] = {}
+        voted = partial(
+            aggregation.aggregate, tied, linalg.vertices(now.matrix), options.agg_iters, options.agg_init_factor, options.agg_iter_factor, options.votes_to_seed, options.max_agg_size, adjacency(now.matrix),
+            options.rejection_ratio, options.rejection_to_seed, options.neighbor_of_neighbor, trace=trace if options.keep_rounds else None,
         )
+        states = voted()
         assign = materialize(aggregation.restriction(states), "assign")
-        discard(tied, states)
+        for _ in range(options.cr_iters if options.compatible != "none" else 0):
+            states, assign = _relaxed(now.matrix, states, assign, voted, options)
+        if options.keep_rounds:
+            trace["strength"] = tied
+        else:
+            discard(tied, states)
         if assign.select("agg").distinct().count() > options.stall * now.size:
             break
-        levels.append(Aggregation(now.matrix, now.size, now.nnz, small(), assign=assign, largest=largest_eigenvalue(now.matrix, small=small())))
+        levels.append(Aggregation(now.matrix, now.size, now.nnz, small(), assign=assign, largest=eigenvalue_bound(now.matrix, options.cheby_steps, small()), rounds=trace))
         now = Counted(linalg.galerkin_of_map(assign, now.matrix), options.broadcast_vertices)
     return [*levels, coarse_level(now.matrix, options)]
 
 
+def _relaxed(matrix: DataFrame, states: DataFrame, assign: DataFrame, voted: Callable[..., DataFrame], options: Options) -> tuple[DataFrame, DataFrame]:
+    """States and aggregates after one round of compatible relaxation."""
+    settings = options.cr_threshold, options.cr_tvs, options.cr_smoothing_iters, options.cr_norm
+    with scratch() as kept:
+        if options.compatible == "split":
+            after = states
+            changed = materialize(compatible.split(matrix, assign, *settings), "assign")
+        else:
+            after = voted(start=compatible.reseeded(matrix, states, assign, *settings))
+            changed = materialize(aggregation.restriction(after), "assign")
+            kept.append(after)
+        kept.append(changed)
+    discard(assign)
+    return after, changed
+
+
 def coarse_level(matrix: DataFrame, options: Options = Options()) -> Coarse:
     nnz, size = matrix.agg(F.count("*"), F.count(F.when(F.col("i") == F.col("j"), 1))).first()
     small = size <= options.broadcast_vertices
@@ -217,8 +251,10 @@ def coarse_level(matrix: DataFrame, options: Options = Options()) -> Coarse:
 
 
 def cycle(levels: list[Level], b: DataFrame, options: Options, at: int = 0) -> DataFrame:
-    """One V- or K-cycle from zero for the right-hand side ``b`` (i, v): (i, v), a written table."""
-    return materialize(levels[at].apply(levels, b, options, at), "cycled")
+    """One V- or K-cycle from zero for the right-hand side ``b`` (i, v): (i, v), a written table; no other one is left."""
+    with scratch() as kept:
+        kept.append(out := materialize(levels[at].apply(levels, b, options, at), "cycled"))
+    return out
 
 
 def below(levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
@@ -244,8 +280,16 @@ def report(levels: list[Level]) -> list[tuple[int, str, int, int]]:
     return [(k, level.kind, level.size, level.nnz) for k, level in enumerate(levels)]
 
 
+def spread(level: Level) -> tuple[int, float]:
+    """Partitions of a level's matrix, and the entries of the largest one over the mean of all."""
+    sizes = level.matrix.groupBy(F.spark_partition_id().alias("at")).count()
+    largest, rows, used = sizes.agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    return used, float(largest * used / rows) if rows else 1.0
+
+
 def dump(levels: list[Level], path: str) -> None:
-    """Every table of every level as Parquet below ``path``: ``level=<n>/<name>``, names A, P, Q and R (i, agg)."""
+    """Every table of every level as Parquet below ``path``: ``level=<n>/<name>``, names A, P, Q and R (i, agg), and where rounds
+    were kept, strength, agg_state_<round> and voting_for_<round>."""
     for k, level in enumerate(levels):
         for name, table in level.tables().items():
-            table.write.mode("overwrite").parquet(f"{path}/level={k}/{name}")
+            table.drop("_part").write.mode("overwrite").parquet(f"{path}/level={k}/{name}")

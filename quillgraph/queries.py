@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quillgraph import graphs
 from quillgraph import semiring as sr
 from quillgraph.graphs import hashed_value, hashed_vector, table
-from quillgraph.operators import aggregation, elimination, graph, linalg, smoothers, strength
+from quillgraph.operators import aggregation, compatible, dealt, elimination, graph, linalg, smoothers, strength
 from quillgraph.plans import hierarchy
-from quillgraph.plans.eigen import largest_pairs, smallest_pairs, smoothing_eigenvalue
+from quillgraph.plans.eigen import Pairs, largest_pairs, smallest_pairs, smoothing_eigenvalue, smoothing_pairs
 from quillgraph.plans.hierarchy import largest_eigenvalue, strengths
-from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner, no_preconditioner
+from quillgraph.plans.krylov import conjugate_gradients, jacobi_preconditioner, no_preconditioner, pipelined_conjugate_gradients, truncated_conjugate_gradients
 from quillgraph.plans.options import Options
 from quillgraph.plans.solver import Solver
 from quillgraph.storage import materialize
@@ -149,6 +149,43 @@ def spmv_collect(spark, sf_dir):
     return found.select("i", F.array_join(F.col("v").cast("array<string>"), ",").alias("v"))
 
 
+def _with_hubs(spark, sf_dir) -> DataFrame:
+    return dealt.dealt_table(graph.laplacian(graphs.with_status(spark, sf_dir)), 64)
+
+
+@query
+def spmv_hub(spark, sf_dir):
+    """A product with hubs, whose columns are dealt."""
+    lap = _with_hubs(spark, sf_dir)
+    return shown(linalg.spmv(lap, x_of(lap)))
+
+
+@query
+def smooth_hub(spark, sf_dir):
+    """Four test vectors after two sweeps on a graph with hubs."""
+    lap = _with_hubs(spark, sf_dir)
+    vectors = strength.test_vectors(linalg.vertices(lap), 4)
+    for _ in range(2):
+        vectors = strength.smooth(lap, vectors, 4)
+    return shown(vectors.select("i", F.posexplode("xs").alias("k", "v")))
+
+
+@query
+def affinity_hub(spark, sf_dir):
+    """Strengths by four test vectors as drawn, on a graph with hubs."""
+    lap = _with_hubs(spark, sf_dir)
+    return shown(linalg.apply(strength.affinity(lap, strength.test_vectors(linalg.vertices(lap), 4)), _logged))
+
+
+@query
+def cooccurrence_hub(spark, sf_dir):
+    """What suppliers share, where all of them sell part 0 beside their own: pairs through it are multiplied in blocks."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))
+    common = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.lit(0).cast("long").alias("j"))
+    a = materialize(linalg.from_triples(lines.unionByName(common).withColumn("v", F.lit(1.0))), "incidence")
+    return dealt.multiply(a, linalg.transpose(a), 64, 32).where("i <> j")
+
+
 @query
 def spgemm(spark, sf_dir):
     a = graph.as_matrix(graphs.nation_region(spark, sf_dir))
@@ -578,6 +615,29 @@ def cg_k(spark, sf_dir):
     return shown(conjugate_gradients(lap, x_of(lap), no_preconditioner, 0.0, 3, flexible=False).x, digits=5)
 
 
+@query
+def cg_coefficients(spark, sf_dir):
+    """Step lengths and weights of three iterations, from which eigenvalue bounds follow."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    found = conjugate_gradients(lap, linalg.orthogonalize(x_of(lap)), jacobi_preconditioner(lap), 0.0, 3, flexible=False)
+    rows = [(k, round(a, 6), round(b, 6)) for k, (a, b) in enumerate(zip(found.alphas, found.betas, strict=True))]
+    return spark.createDataFrame(rows, "step int, alpha double, beta double")
+
+
+@query
+def fcg_k(spark, sf_dir):
+    """Three iterations from zero with the last two directions kept."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    return shown(truncated_conjugate_gradients(lap, linalg.orthogonalize(x_of(lap)), jacobi_preconditioner(lap), 0.0, 3, 2).x, digits=5)
+
+
+@query
+def pipecg_k(spark, sf_dir):
+    """Three iterations from zero by pipelined recurrences."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    return shown(pipelined_conjugate_gradients(lap, linalg.orthogonalize(x_of(lap)), jacobi_preconditioner(lap), 0.0, 3).x, digits=5)
+
+
 @query
 def pcg_jacobi_k(spark, sf_dir):
     """Three iterations from zero."""
@@ -661,6 +721,56 @@ def fiedler(spark, sf_dir):
     return away.select(F.lit(round(low.values[0], 6)).alias("smallest"), (F.round("v", 6) + F.lit(0.0)).alias("away"), F.lit(round(high.values[0], 6)).alias("largest"))
 
 
+def _away(pairs: Pairs, lap: DataFrame, digits: int) -> DataFrame:
+    """(k, away, length): how far a vector of each pair is from an eigenvector, by a product of its own, and its length."""
+    met = lap.join(pairs.long().select("k", F.col("i").alias("j"), F.col("v").alias("x")), "j")
+    value = F.element_at(F.array(*map(F.lit, pairs.values)), F.col("k") + 1)
+    sums = met.groupBy("k", "i").agg(F.sum(F.col("v") * F.col("x")).alias("ax"), F.max(F.when(F.col("i") == F.col("j"), F.col("x"))).alias("x"))
+    off = F.col("ax") - value * F.col("x")
+    found = sums.groupBy("k").agg(F.sqrt(F.sum(off * off)).alias("away"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    return shown(found, "away", "length", digits=digits)
+
+
+@query
+def smallest_eigenpairs(spark, sf_dir):
+    """Three smallest pairs of parts and suppliers beside the constant vector's: residuals and lengths."""
+    lap = materialize(graph.laplacian(graphs.part_supplier(spark, sf_dir)), "lap")
+    return _away(smallest_pairs(lap, 3, tol=1e-6), lap, 3)
+
+
+@query
+def largest_eigenpairs(spark, sf_dir):
+    """Two largest pairs of parts and suppliers: residuals and lengths."""
+    lap = materialize(graph.laplacian(graphs.part_supplier(spark, sf_dir)), "lap")
+    return _away(largest_pairs(lap, 2, 1e-8), lap, 3)
+
+
+@query
+def smoothing_eigenpair(spark, sf_dir):
+    """The leading pair of what aggregates of eight ids leave to smoothing, by Arnoldi steps: its residual, by a product of
+    its own, and its length."""
+    lap = materialize(graph.laplacian(graphs.part_supplier(spark, sf_dir)), "lap")
+    found = smoothing_pairs(lap, _blocks(lap), 1)
+    x = materialize(found.vectors.select("i", F.col("re0").alias("v")), "x")
+    off = linalg.axpy(-found.values[0].real, x, smoothers.Complement.of(_blocks(lap)).step(lap, x))
+    both = off.withColumnRenamed("v", "off").join(x, "i").agg(F.sqrt(F.sum(F.col("off") * F.col("off"))).alias("away"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    return shown(both, "away", "length", digits=4)
+
+
+@query
+def cr_smooth(spark, sf_dir):
+    """Four test vectors after two sweeps, aggregates of eight ids made mean-free after each."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    return shown(compatible.smooth(lap, _blocks(lap), 4, 2).select("i", F.posexplode("xs").alias("k", "v")))
+
+
+@query
+def cr_bad(spark, sf_dir):
+    """The aggregates of eight ids on which much of them is left."""
+    lap = materialize(lap_of(spark, sf_dir), "lap")
+    return shown(compatible.bad(compatible.smooth(lap, _blocks(lap), 4, 2), _blocks(lap), 4, 0.35, "both"), "two", "inf")
+
+
 @query
 def solve(spark, sf_dir):
     """A full solve of L x = b where x is known, up to a constant."""

@@ -7,9 +7,14 @@ re-read and not a recomputation of every earlier round.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+_written: ContextVar[list[DataFrame] | None] = ContextVar("_written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a folder below the warehouse."""
@@ -35,9 +40,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(where)
     out._quill_path = where
+    if (held := _written.get()) is not None:
+        held.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are written within are discarded at the end, but for those that were added to the given list: these are
+    left to the scratch around, if any. Nothing lazy may read the others afterwards."""
+    around, mine, kept = _written.get(), [], []
+    token = _written.set(mine)
+    try:
+        yield kept
+    finally:
+        _written.reset(token)
+        spared = {getattr(t, "_quill_path", None) for t in kept}
+        discard(*(t for t in mine if t._quill_path not in spared))
+        if around is not None:
+            around.extend(kept)
+
+
 def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, float]]:
     """:func:`materialize`, with aggregates of the rows taken while they are written: no second job."""
     seen = Observation()
@@ -45,18 +68,20 @@ def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[
     return out, {k: float(v or 0.0) for k, v in seen.get.items()}
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """:func:`materialize` as a table in buckets by ``key``, as many as the session's shuffle partitions: joins on ``key``
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """:func:`materialize` as a table in buckets by ``keys``, as many as the session's shuffle partitions: joins on them
     shuffle only the other side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     where = f"{shared_dir(spark)}/{table}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", where).option("compression", "zstd").saveAsTable(table)
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys).option("path", where).option("compression", "zstd").saveAsTable(table)
     path, fs = _path(spark, where)
     fs.deleteOnExit(path)
     out = spark.table(table)
     out._quill_path, out._quill_table = where, table
+    if (held := _written.get()) is not None:
+        held.append(out)
     return out
 
 

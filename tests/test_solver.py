@@ -156,7 +156,7 @@ def test_eigenpairs(spark, grid):
     lap, dense = grid
     want = np.linalg.eigvalsh(dense)
     low = smallest_pairs(lap, 1, Options(min_size=10**9), tol=1e-6)
-    high = largest_pairs(lap, 2, 25)
+    high = largest_pairs(lap, 2)
     assert np.allclose(low.values, want[1:2], rtol=1e-4) and np.allclose(high.values, want[::-1][:2], rtol=1e-4)
     rows = high.long().where("k = 0").collect()
     x = np.zeros(len(dense))
@@ -237,7 +237,7 @@ def test_dump_and_record(spark, grid, tmp_path):
         solver.write_csv(name, f"{tmp_path}/csv")
     read = spark.read.option("header", True).csv(f"{tmp_path}/csv")
     assert {r["graph"] for r in read.collect()} == {"one", "two"} and {"smoother", "outer", "wda", "setup_time", "option_iters", "iters"} <= set(read.columns)
-    found = largest_pairs(lap, 1, 4)
+    found = largest_pairs(lap, 1)
     found.write(f"{tmp_path}/pairs")
     assert spark.read.parquet(f"{tmp_path}/pairs/vectors").count() == len(dense)
     assert spark.read.parquet(f"{tmp_path}/pairs/values").first()["eigenvalue"] == found.values[0]
