@@ -250,6 +250,7 @@ ORACLES: dict[str, str] = {
     "smallest_eigenpairs": "SELECT CAST(k AS INTEGER) AS k, 0e0 AS away, 1e0 AS length FROM range(3) r(k)",
     "largest_eigenpairs": "SELECT CAST(k AS INTEGER) AS k, 0e0 AS away, 1e0 AS length FROM range(2) r(k)",
     "smoothing_eigenpair": "SELECT 0e0 AS away, 1e0 AS length",
+    "colours": "SELECT CAST(0 AS BIGINT) AS alike, CAST(2 AS BIGINT) AS colours",
     "cr_smooth": _sql("SELECT i, k, round(x, 6) + 0 AS v FROM p2", _BLOCKS, *_CR),
     "cr_bad": _sql("""SELECT agg, round(sum(s), 6) AS two, round(sum(m), 6) AS inf, count(*) AS size FROM (SELECT i, sum(x * x) / 4 AS s, max(abs(x)) AS m FROM p2 GROUP BY i) t JOIN blk ON blk.i = t.i
         GROUP BY agg HAVING count(*) > 1 AND greatest(sum(s), sum(m)) > 0.35""", _BLOCKS, *_CR),

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import aggregation, compatible, dealt, elimination, linalg, smoothers, strength
+from quillgraph.operators import aggregation, colouring, compatible, dealt, elimination, linalg, smoothers, strength
 from quillgraph.operators.graph import adjacency
 from quillgraph.plans.krylov import conjugate_gradients, eigenvalue_bound, jacobi_preconditioner
 from quillgraph.plans.options import Options
@@ -98,13 +98,17 @@ class Coarse(Level):
     #: (i, row array<double>): rows of the pseudo-inverse, columns in order of i; none where the level is too large.
     inverse: DataFrame | None = None
     kind: str = "coarse"
+    sweeps: colouring.Sweeps | None = None
+    #: Of the last solve by iteration.
+    iterations: int = 0
 
     def work(self, options: Options) -> float:
         return self.nnz
 
     def apply(self, levels: list[Level], b: DataFrame, options: Options, at: int) -> DataFrame:
         if self.inverse is None:
-            found = conjugate_gradients(self.matrix, b, jacobi_preconditioner(self.matrix), options.coarse_tol, 100 * options.iters, small=self.small)
+            found = conjugate_gradients(self.matrix, b, self.sweeps or jacobi_preconditioner(self.matrix), options.coarse_tol, options.iters, small=self.small)
+            self.iterations = found.iters
             if found.reason in ("iterations", "diverged"):
                 raise RuntimeError(f"the coarse level of {self.size} vertices was not solved: {found.reason}, residual {found.residuals[-1]:.3g}")
             return found.x
@@ -240,7 +244,7 @@ def coarse_level(matrix: DataFrame, options: Options = Options()) -> Coarse:
     nnz, size = matrix.agg(F.count("*"), F.count(F.when(F.col("i") == F.col("j"), 1))).first()
     small = size <= options.broadcast_vertices
     if size > options.coarse_vertices:
-        return Coarse(matrix, size, nnz, small)
+        return Coarse(matrix, size, nnz, small, sweeps=colouring.Sweeps.of(matrix, small) if options.coarse_precondition == "sor" else None)
     rows = matrix.toPandas()  # at most coarse_vertices squared
     ids = np.unique(rows["i"].to_numpy(dtype=np.int64))
     dense = np.zeros((len(ids), len(ids)))

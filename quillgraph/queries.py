@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph import graphs
 from quillgraph import semiring as sr
 from quillgraph.graphs import hashed_value, hashed_vector, table
-from quillgraph.operators import aggregation, compatible, dealt, elimination, graph, linalg, smoothers, strength
+from quillgraph.operators import aggregation, colouring, compatible, dealt, elimination, graph, linalg, smoothers, strength
 from quillgraph.plans import hierarchy
 from quillgraph.plans.eigen import Pairs, largest_pairs, smallest_pairs, smoothing_eigenvalue, smoothing_pairs
 from quillgraph.plans.hierarchy import largest_eigenvalue, strengths
@@ -695,6 +695,15 @@ def kcycle(spark, sf_dir):
     return shown(spark.createDataFrame([(k, r / found.residuals[0]) for k, r in enumerate(found.residuals)], "cycle int, v double"))
 
 
+@query
+def colours(spark, sf_dir):
+    """Of a colouring of the stars of customers and orders: edges within a colour, and colours, which are two."""
+    lap = materialize(graph.laplacian(graphs.customer_order(spark, sf_dir)), "lap")
+    found, count = colouring.colours(lap)
+    met = lap.where("i <> j").join(found, "i").join(found.select(F.col("i").alias("j"), F.col("colour").alias("other")), "j")
+    return met.agg(F.sum((F.col("colour") == F.col("other")).cast("long")).alias("alike"), F.lit(count).cast("long").alias("colours"))
+
+
 @query
 def coarse_solve(spark, sf_dir):
     """The coarse level's answer where it is known."""
@@ -735,7 +744,7 @@ def _away(pairs: Pairs, lap: DataFrame, digits: int) -> DataFrame:
 def smallest_eigenpairs(spark, sf_dir):
     """Three smallest pairs of parts and suppliers beside the constant vector's: residuals and lengths."""
     lap = materialize(graph.laplacian(graphs.part_supplier(spark, sf_dir)), "lap")
-    return _away(smallest_pairs(lap, 3, tol=1e-6), lap, 3)
+    return _away(smallest_pairs(lap, 3, tol=1e-5), lap, 2)
 
 
 @query
