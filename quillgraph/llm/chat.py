@@ -5,10 +5,11 @@ escaped by ``\\``, so no text can forge a control string and all texts can be re
 the formatted text; each turn is formatted on its own, so a tokenizer may be applied to each node.
 
 1. *Paths*: a conversation is the path of its turns' prefix digests. Equal conversations share a leaf.
-2. *Segments*: leaves are dealt by their first turn; a first turn that more than ``most`` leaves share is dealt on by the
-   next turn, and so on. Nodes above the cut are *trunk* nodes with a segment of their own each; so are all nodes of a
-   leaf that ends there.
-3. *Depth-first emission*: small segments go to a task together; within a segment, leaves are sorted by path; each emits the nodes that it does not share with
+2. *Segments*: paths (digests, without texts) are sorted once over ranges; ``most`` neighbours in that order are a
+   segment. Neighbours share what the first difference of their paths leaves, so what a leaf shares with other segments
+   is the longest prefix that it has in common with the leaf before its segment or the one behind it. Nodes in that
+   prefix are *trunk* nodes with a segment of their own each.
+3. *Depth-first emission*: segments go to a task together; within a segment, leaves are sorted by path; each emits the nodes that it does not share with
    the one before. Every node, and so every shared turn, is emitted once in the whole output.
 4. Each node has its place (segment, start, end), the position id of its first symbol (the length of its ancestors), the
    places of its ancestors as merged attention intervals, and the part of it that is under the loss mask (an
@@ -26,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.storage import discard, materialize
 
@@ -90,8 +92,8 @@ def _joined(places: list[tuple], place: tuple) -> list[tuple]:
 
 
 def _emit(frame: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of some whole segments, depth-first. Nodes above the cut are emitted for their own segments by every segment
-    that needs them; equal rows are dropped afterwards."""
+    """Nodes of some whole segments, depth-first. Trunk nodes (above a leaf's ``cut``) are emitted for their own segments
+    by every segment that needs them; equal rows are dropped afterwards."""
     rows, now, at, before, state = [], None, 0, [], []
     leaves = zip(frame["segment"], map(list, frame["path"]), frame["cut"], frame["texts"], frame["low"], frame["high"], strict=True)
     for segment, path, cut, texts, low, high in sorted(leaves, key=lambda leaf: leaf[:2]):
@@ -122,6 +124,33 @@ def _bucket(segment: str, rows: DataFrame, size: int) -> Column:
     return F.pmod(F.xxhash64(segment), F.lit(max(parts, -(-rows.count() // size))))
 
 
+def _segments(paths: DataFrame, most: int) -> DataFrame:
+    """(leaf, segment, cut) of the different leaves of ``paths`` (leaf, path, ...), a written table: segments of at most
+    ``most`` neighbours in the order of paths, and the number of a leaf's first nodes that other segments have too.
+
+    An element of a path stands for all turns up to it, so two paths share as many first elements as elements. A range of
+    the order is sorted by one task; all its paths differ, so a common first turn makes no range larger. Of each range,
+    its first and last path meet those of its neighbours: two rows a range."""
+    ranges = materialize(paths.select("leaf", "path").dropDuplicates(["leaf"]).repartitionByRange("path").withColumn("range", F.spark_partition_id()), "chat_order")
+    in_order = Window.orderBy("range")
+    ends = ranges.groupBy("range").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    ends = ends.select("range", F.lag("high").over(in_order).alias("ahead"), F.lead("low").over(in_order).alias("behind"))
+    in_range = Window.partitionBy("range").orderBy("path")
+    shared = lambda other: F.coalesce(F.size(F.array_intersect("path", other)), F.lit(0))
+    rows = ranges.withColumns({"before": F.lag("path").over(in_range), "after": F.lead("path").over(in_range), "place": F.floor((F.row_number().over(in_range) - 1) / most)})
+    rows = rows.join(ends, "range").select(
+        "leaf", "range", "place", "path", shared(F.coalesce("before", "ahead")).alias("with_before"), shared(F.coalesce("after", "behind")).alias("with_after")
+    )
+    # with the leaf before the segment a leaf shares the least that neighbours between share; so it is behind
+    part = Window.partitionBy("range", "place").orderBy("path")
+    above = F.min("with_before").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.min("with_after").over(part.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    segment = F.concat_ws(".", F.lit("s"), "range", "place")
+    out = materialize(rows.select("leaf", segment.alias("segment"), F.greatest(above, below).alias("cut")), "chat_segments")
+    discard(ranges)
+    return out
+
+
 def prefix_trees(turns: DataFrame, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """(nodes, conversations) of ``turns`` (conv_id, turn, role, text), both written tables.
 
@@ -136,26 +165,11 @@ def prefix_trees(turns: DataFrame, most: int = 256) -> tuple[DataFrame, DataFram
     kind = "conv_id string, leaf string, path array<string>, texts array<string>, low array<int>, high array<int>"
     paths = materialize(spoken.select(F.col("conv_id").cast("string"), "turns").mapInPandas(_paths, kind), "chat_paths")
     leaves = paths.groupBy("leaf").agg(*(F.first(c).alias(c) for c in ("path", "texts", "low", "high")))
-    dealt = materialize(leaves.withColumns({"segment": F.concat(F.lit("s."), F.element_at("path", 1)), "cut": F.lit(0)}), "chat_leaves")
-    depth = 0
-    while True:
-        large = dealt.groupBy("segment").count().where(F.col("count") > most)
-        if large.isEmpty():
-            break
-        depth += 1
-        sized = dealt.join(large.select("segment", F.ceil(F.col("count") / (most / 2)).alias("deals")), "segment", "left")
-        again = F.col("deals").isNotNull()
-        # a leaf that ends above the cut has trunk nodes only, as its longer siblings have them, so any part may emit it
-        key = F.coalesce(F.get("path", F.lit(depth)), F.concat_ws(".", "leaf", F.lit(depth)))
-        part = F.pmod(F.xxhash64(key), F.col("deals"))
-        before, dealt = dealt, materialize(
-            sized.withColumns({"cut": F.when(again, depth).otherwise(F.col("cut")), "segment": F.when(again, F.concat_ws(".", "segment", part.cast("string"))).otherwise(F.col("segment"))}).drop("deals"),
-            "chat_leaves",
-        )
-        discard(before)
-    emitted = dealt.withColumn("bucket", _bucket("segment", dealt, 1024)).groupBy("bucket").applyInPandas(_emit, _NODES)
+    segments = _segments(paths, most)
+    dealt = leaves.join(segments.withColumn("bucket", _bucket("segment", segments, 1024)), "leaf")
+    emitted = dealt.groupBy("bucket").applyInPandas(_emit, _NODES)
     nodes = materialize(emitted.dropDuplicates(["node"]), "chat_nodes")
-    discard(dealt)
+    discard(segments)
     return nodes, paths.select(F.col("conv_id").cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.size("path").cast("long").alias("n_turns"), "leaf")
 
 

@@ -173,6 +173,23 @@ def test_chat_prefix_of_many(spark, most):
         assert got[c]["formatted_chars"] == sum(len(chat.format_turn(*turn)[0]) for turn in talk)
 
 
+def test_chat_long_common_history(spark, monkeypatch):
+    """Conversations that share forty turns are dealt in one pass: as many tables as for those that share one."""
+    written = []
+    monkeypatch.setattr(chat, "materialize", lambda df, name, write=chat.materialize: written.append(name) or write(df, name))
+
+    def trees(common):
+        written.clear()
+        talks = [[*(("user", f"turn {t}") for t in range(common)), ("assistant", f"{k}")] for k in range(300)]
+        rows = [(c, t, *turn) for c, talk in enumerate(talks) for t, turn in enumerate(talk)]
+        nodes, conversations = chat.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=16)
+        assert nodes.count() == common + 300 and nodes.where("segment = node").count() == common
+        assert {r["formatted_chars"] for r in chat.digests(nodes, conversations).where("conv_id < 10").collect()} == {sum(len(chat.format_turn(*turn)[0]) for turn in talks[0])}
+        return list(written)
+
+    assert trees(1) == trees(40)
+
+
 def test_token_counts(spark, docs):
     import sentencepiece
 
