@@ -502,7 +502,7 @@ def ngram_classes(docs: DataFrame, rule: Rule = Rule(), hot_above: int = 8, most
 def _linked_classes(rows: DataFrame, members: DataFrame, rule: Rule, block: int, block_grams: int) -> DataFrame:
     """(node, label): components of the linked classes of all families. ``members``: dg, first_id, n, family."""
     spark = rows.sparkSession
-    count = members.count()
+    count, grams = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 1 << min(26, max(16, math.ceil(math.log2(16 * max(count, 1)))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     flagged = members.select(F.pmod(F.xxhash64(F.col("first_id")), F.lit(bits)).alias("h")).coalesce(4).mapInPandas(partial(_flags, bits=bits), "flags binary").collect()
@@ -523,7 +523,7 @@ def _linked_classes(rows: DataFrame, members: DataFrame, rule: Rule, block: int,
     placed = placed.drop("n").join(cells, ["family", "range"]).withColumn("b", F.pmod(F.xxhash64("dg"), F.col("nb")).cast("int"))
     held = materialize(sets.join(placed, "dg"), "family_sets")
     # small families go together, so that a task has enough to do; block pairs of large ones are dealt singly
-    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / 4096))
+    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / 4096), math.ceil(grams / (2 * block_grams)))
     key = F.when(F.col("i") == 0, F.when((F.col("j") == 0) & ~F.col("many"), F.pmod(F.xxhash64("family"), F.lit(packs))))
     key = F.coalesce(key, F.xxhash64("family", "i", "j"))
 
