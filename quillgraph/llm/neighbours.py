@@ -14,7 +14,7 @@ that near in inner product is near in distance too; searches and results use inn
    shares the vectors that its nodes need.
 4. *Search*: queries, in blocks too, start from their own node, if they have one, and from a fixed number of seed
    nodes, some random and some the longest vectors, and walk greedily: the nodes that neighbour, or list as neighbours,
-   those in their list of the best ``beam`` that have not been expanded are scored, until no list changes.
+   the best of those in their list of ``beam`` that have not been expanded are scored, until all have been.
 
 Blocks and leaves are bounded, lists are arrays of fixed length, and each round ends in a written table. Who lists a
 node is sampled before it is gathered, and what blocks propose for a node is cut to ``degree`` in two steps, so a node
@@ -35,11 +35,15 @@ from pyspark.sql.window import Window
 
 from quillgraph.llm.vectors import doubles, usable
 from quillgraph.operators.linalg import numbered
-from quillgraph.storage import discard, materialize
+from quillgraph.storage import discard, materialize, measured
 
 LEAF = 256
 #: Nodes of a block that are tried at once.
 SLICE = 512
+#: Bits of a block's name that tell parts of a large leaf apart.
+SALT_BITS = 24
+#: Bytes of vectors that a block of queries may gather for a step, about, and of scores that it holds at once.
+STEP_BYTES = 1 << 28
 
 
 def _matrix(raw: pd.Series, kind: str = "<f8") -> np.ndarray:
@@ -173,8 +177,8 @@ def _no(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, turn: int, degree: int, sample: int) -> DataFrame:
-    """One round of NN-descent on a written graph."""
+def _round(graph: DataFrame, nodes: DataFrame, turn: int, degree: int, sample: int) -> tuple[DataFrame, dict[str, float]]:
+    """One round of NN-descent on a written graph, with the numbers of changed and of all entries."""
     entries = F.arrays_zip("nbrs", "fresh")
     drawn = F.transform(F.filter(entries, lambda e: e["fresh"]), lambda e: F.struct(F.xxhash64(F.col("node"), e["nbrs"], F.lit(turn)).alias("h"), e["nbrs"].alias("w")))
     drawn = F.transform(F.slice(F.array_sort(drawn), 1, sample), lambda e: e["w"])
@@ -202,7 +206,7 @@ def _round(graph: DataFrame, nodes: DataFrame, turn: int, degree: int, sample: i
     few = few.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("proposed"))
     used = F.transform(entries, lambda e: e["fresh"] & ~F.array_contains(F.col("new"), e["nbrs"]))
     after = tried.withColumn("fresh", used).select("node", "block", "nbrs", "scores", "fresh").join(few, "node", "left")
-    out = materialize(after.mapInPandas(partial(_merge, degree=degree), _GRAPH), "graph")
+    out = measured(after.mapInPandas(partial(_merge, degree=degree), _GRAPH), "graph", changed=F.sum("changed"), size=F.sum(F.size("nbrs")))
     discard(met)
     return out
 
@@ -226,36 +230,51 @@ def build_graph(nodes: DataFrame, degree: int = 24, trees: int = 4, settled: flo
     first = leaves.select("part", "node", "f").groupBy("part").applyInPandas(lambda frame: _first_graph(frame, degree), "node long, ids array<long>, scores array<float>")
     lists = first.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))  # a row a tree
     best = lists.mapInPandas(partial(_shorten, degree=degree), "node long, ids array<long>, scores array<float>")
-    # four neighbouring leaves share a block, and so the vectors that they gather
-    blocks = leaves.where("tree = 0").select("node", F.xxhash64(F.shiftright("leaf", 2), "salt").alias("block"))
+    # four neighbouring leaves share a block, and so the vectors that they gather; blocks are named in order of leaves
+    blocks = leaves.where("tree = 0").select("node", (F.shiftleft(F.shiftright("leaf", 2), SALT_BITS) + F.pmod("salt", F.lit(1 << SALT_BITS))).alias("block"))
     nbrs, scores = F.coalesce("ids", _no("long")), F.coalesce("scores", _no("float"))
     start = blocks.join(best, "node", "left").select("node", "block", nbrs.alias("nbrs"), scores.alias("scores"))
     graph = materialize(start.withColumns({"fresh": F.transform("nbrs", lambda w: F.lit(True)), "changed": F.lit(0)}), "graph")
     for turn in range(max_rounds):
-        before, graph = graph, _round(graph, nodes, turn, degree, sample)
+        before, (graph, seen) = graph, _round(graph, nodes, turn, degree, sample)
         discard(before)
-        changed, size = graph.agg(F.sum("changed"), F.sum(F.size("nbrs"))).first()
-        if (changed or 0) <= settled * (size or 0):
+        if seen["changed"] <= settled * seen["size"]:
             return graph
     raise RuntimeError(f"the neighbour graph did not settle in {max_rounds} rounds")
 
 
-def _walk(lists: pd.DataFrame, near: pd.DataFrame, beam: int, width: int) -> pd.DataFrame:
-    """Score a block's new candidates for its queries and keep the best of each list; ``fresh`` ones are not expanded."""
+def _candidates(q: np.ndarray, near: pd.DataFrame, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the ``beam`` best of ``near`` for each row of ``q``, taken in slices. What a slice's product selects
+    is scored anew, one row at a time in a fixed order of sums, so a pair's score doesn't depend on the block that it is in."""
+    step = max(beam, STEP_BYTES // (8 * max(len(q), 1)))
+    ids, marks = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0))
+    for begin in range(0, len(near), step):
+        own = near.iloc[begin : begin + step]
+        w, y = own["w"].to_numpy(dtype=np.int64), _matrix(own["y"])[:, :width]
+        at, _ = _nearest(q @ y.T, w, beam)
+        exact = np.stack([(y[a] * x).sum(axis=1) for a, x in zip(at, q, strict=True)])
+        ids, marks = np.hstack((ids, w[at])), np.hstack((marks, exact))
+        order = np.lexsort((ids, -marks), axis=1)[:, :beam]
+        ids, marks = np.take_along_axis(ids, order, axis=1), np.take_along_axis(marks, order, axis=1)
+    return ids, marks
+
+
+def _walk(lists: pd.DataFrame, near: pd.DataFrame, beam: int, width: int, expand: int) -> pd.DataFrame:
+    """Score a block's new candidates for its queries and keep the best of each list. ``fresh``: those that have not been
+    expanded; ``next``: the best ``expand`` of them, to be expanded in the next step."""
     lists = lists.sort_values("query")
-    near = near.drop_duplicates("w")
-    others, rows = near["w"].to_numpy(dtype=np.int64), []
-    q = _matrix(lists["q"])
-    scores = q @ _matrix(near["y"])[:, :width].T if len(others) else np.zeros((len(lists), 0))
-    at, best = _nearest(scores, others, beam) if len(others) else (np.zeros((len(lists), 0), dtype=int), scores)
+    rows = []
+    found, best = _candidates(_matrix(lists["q"]), near.drop_duplicates("w"), beam, width)
     for k, row in enumerate(lists.itertuples(index=False)):
         have, known = np.asarray(row.ids, dtype=np.int64), np.asarray(row.scores, dtype=np.float64)
-        new = ~np.isin(others[at[k]], have)
-        ids, marks = np.concatenate((have, others[at[k]][new])), np.concatenate((known, best[k][new]))
-        fresh = np.concatenate((np.zeros(len(have), dtype=bool), np.ones(int(new.sum()), dtype=bool)))
+        new = ~np.isin(found[k], have)
+        ids, marks = np.concatenate((have, found[k][new])), np.concatenate((known, best[k][new]))
+        waits = np.setdiff1d(np.asarray(row.fresh, dtype=np.int64), np.asarray(row.next, dtype=np.int64))
+        fresh = np.concatenate((np.isin(have, waits), np.ones(int(new.sum()), dtype=bool)))
         order = np.lexsort((ids, -marks))[:beam]
-        rows.append((row.query, row.block, row.q, ids[order], marks[order], ids[order][fresh[order]]))
-    return pd.DataFrame(rows, columns=["query", "block", "q", "ids", "scores", "fresh"])
+        ids, marks, open_ = ids[order], marks[order], ids[order][fresh[order]]
+        rows.append((row.query, row.block, row.q, ids, marks, open_, open_[:expand]))
+    return pd.DataFrame(rows, columns=["query", "block", "q", "ids", "scores", "fresh", "next"])
 
 
 def _apart(near: DataFrame) -> DataFrame:
@@ -263,7 +282,7 @@ def _apart(near: DataFrame) -> DataFrame:
     return near.select(F.col("block").alias("b"), F.col("w").alias("v"), F.col("y").alias("z")).toDF("block", "w", "y")
 
 
-_LISTS = "query long, block long, q binary, ids array<long>, scores array<double>, fresh array<long>"
+_LISTS = "query long, block long, q binary, ids array<long>, scores array<double>, fresh array<long>, next array<long>"
 
 
 def _both_ways(graph: DataFrame, most: int = 48) -> DataFrame:
@@ -278,22 +297,26 @@ def _both_ways(graph: DataFrame, most: int = 48) -> DataFrame:
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 64, seeds: int = 256, max_rounds: int = 200) -> DataFrame:
     """Greedy graph search: a written table query, ids, scores (best first, at most ``beam``).
 
-    ``queries``: query (unique), node (its own node, or null), q (vector as bytes). A node is expanded once for each
-    block of queries whose lists it newly entered. The walk ends when no list changes; more than ``max_rounds`` steps
-    raise.
+    ``queries``: query (unique), node (its own node, or null), q (vector as bytes). In a step, each query expands its best
+    entries that it has not expanded, as many as keep a block's vectors within about ``STEP_BYTES``. The walk ends when
+    every entry of every list is expanded; more than ``max_rounds`` steps raise.
     """
     width = (len(nodes.first()["x"]) if not nodes.isEmpty() else 8) // 8 - 1
+    most_back = 48
+    links = materialize(_both_ways(graph, most_back), "links").withColumnRenamed("node", "w")
+    longest_list = graph.agg(F.max(F.size("nbrs"))).first()[0] or 0
+    expand = max(1, STEP_BYTES // (LEAF * (longest_list + most_back) * 8 * (width + 1)))
     at = queries.join(graph.select("node", F.col("block").alias("at")), "node", "left")
-    sized = at.withColumn("leaf", F.coalesce("at", F.lit(0).cast("long")))
+    # neighbouring leaves share a block of about LEAF queries: a block's name without its last bits
+    groups = max(1, graph.select("block").distinct().count())
+    merged = max(0, math.floor(math.log2(max(1.0, LEAF * groups / max(queries.count(), 1)))))
+    sized = at.withColumn("leaf", F.coalesce(F.shiftright("at", SALT_BITS + merged), F.lit(-1).cast("long")))
     sized = _split(sized.withColumnsRenamed({"node": "own", "query": "node"}), ["leaf"], LEAF).withColumnRenamed("node", "query")
-    empty = {"ids": _no("long"), "scores": _no("double"), "fresh": _no("long")}
-    # neighbouring leaves share a block, so that blocks are worth a task
-    blocks = max(1, math.ceil(queries.count() / LEAF))
-    start = materialize(sized.withColumn("block", F.pmod(F.xxhash64("leaf", "salt"), F.lit(blocks))), "queries")
+    empty = {"ids": _no("long"), "scores": _no("double"), "fresh": _no("long"), "next": _no("long")}
+    start = materialize(sized.withColumn("block", F.xxhash64("leaf", "salt")), "queries")
     lists = start.select("query", "block", "q").withColumns(empty)
     longest = nodes.select("node", "more").orderBy("more", "node").limit(seeds).select("node")
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(seeds).union(longest).distinct()
-    links = materialize(_both_ways(graph), "links").withColumnRenamed("node", "w")
     near = start.select("block", F.col("own").alias("w")).where("w is not null").distinct()
     near = near.join(links, "w").select("block", F.explode(F.concat(F.array("w"), "nbrs")).alias("w"))
     # every block meets the fixed number of seeds
@@ -301,17 +324,16 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 6
     vectors = nodes.select(F.col("node").alias("w"), F.col("x").alias("y"))
     for turn in range(max_rounds):
         candidates = near.distinct().join(vectors, "w")
-        walked = lists.groupBy("block").cogroup(_apart(candidates).groupBy("block")).applyInPandas(lambda a, b: _walk(a, b, beam, width), _LISTS)
-        before, lists = lists, materialize(walked, "lists")
+        walked = lists.groupBy("block").cogroup(_apart(candidates).groupBy("block")).applyInPandas(lambda a, b: _walk(a, b, beam, width, expand), _LISTS)
+        before, (lists, seen) = lists, measured(walked, "lists", open=F.sum(F.size("next")))
         if turn:
             discard(before)
-        fresh = lists.select("block", F.explode("fresh").alias("w")).distinct()
-        if fresh.isEmpty():
+        if not seen["open"]:
             break
-        near = fresh.join(links, "w").select("block", F.explode("nbrs").alias("w"))
+        near = lists.select("block", F.explode("next").alias("w")).distinct().join(links, "w").select("block", F.explode("nbrs").alias("w"))
     else:
         raise RuntimeError(f"the walk did not end in {max_rounds} steps")
-    discard(start)
+    discard(start, links)
     return lists.select("query", "ids", "scores")
 
 
