@@ -5,11 +5,14 @@ vertex's smaller neighbours likewise (small star). The edges end up as stars aro
 after a number of rounds that grows with the logarithm of the component size, not with its diameter. Each round is two
 group-bys with map-side combine and two joins, and ends in one written table. A star is a hot key: the rows of a vertex
 with more than ``most`` edges are dealt on before a join. There are at most ``HUBS`` such vertices, so their names are
-broadcast; where the table is too small for any, joins are plain.
+broadcast; where the table is too small for any, joins are plain. A round never has more edges than the one before, so its
+table is written by no more tasks than those edges need (``TASK_ROWS`` each, but one for each core).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from quillgraph.storage import discard, materialize
 
 
 HUBS = 1024
+TASK_ROWS = 1 << 16
 
 
 def _met(rows: DataFrame, least: DataFrame, limit: float) -> DataFrame:
@@ -36,6 +40,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     ends, do not appear. The result is a written table."""
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     now, seen = materialize(now, "star"), None
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen or not state[0]:
@@ -48,7 +53,8 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         large = _met(both, least, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         inner = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         moved = _met(large, inner, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, materialize(moved.unionByName(inner.select("u", F.col("m").alias("v"))).distinct(), "star")
+        after = moved.unionByName(inner.select("u", F.col("m").alias("v"))).distinct()
+        before, now = now, materialize(after.coalesce(max(cores, math.ceil(state[0] / TASK_ROWS))), "star")
         discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
