@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from quillgraph.llm.text import LATIN_DIGITS, LATIN_LETTERS, NOT_LATIN, SPACES
 
 BUCKETS = 256
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 9_000_000
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _WHITE = " \\t-\\r\\x85\\xa0"
 _LATIN_WORDS = re.compile(
