@@ -50,8 +50,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = U(int(_random.integers(1, 2**62)) * 8 + 5)
 _UNBASE = U(pow(int(_BASE), -1, 2**64))
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-#: Bytes of text that are hashed at a time; a longer text is hashed on its own.
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at a time; a longer text is hashed on its own. A worker holds about 60 bytes for each, and
+#: keeps 16 of them while it waits for other work.
+CHUNK = 1 << 18
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
