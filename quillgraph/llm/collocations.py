@@ -32,6 +32,8 @@ from pyspark.sql.window import Window
 from quillgraph.storage import discard, materialize
 
 BLOCK_CHARS = 4_000_000
+#: Blocks in a file: a task that writes or reads blocks holds no more of them at once, however many it has.
+FILE_BLOCKS = 4
 #: Bits of a name: below these, the number of an entry in its block; above, the block's in its task and the task's.
 NUMBER_BITS, BLOCK_BITS = 26, 15
 END = b"."
@@ -159,7 +161,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_pe
     pairs in one block raise. A language without a candidate has no rows.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    blocks = materialize(rows.mapInPandas(partial(_blocks, block_chars=block_chars), _BLOCKS), "colloc_blocks")
+    blocks = materialize(rows.mapInPandas(partial(_blocks, block_chars=block_chars), _BLOCKS), "colloc_blocks", FILE_BLOCKS)
     entries = _entries(blocks, "words").where("no > 0")  # number 0 ends pieces
     totals = materialize(entries.groupBy("lang").agg(F.sum("count").alias("n")), "colloc_totals")
     named = materialize(_named(entries, "lang", "word", least=least), "colloc_named")
@@ -168,7 +170,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_pe
     levels = [materialize(words, "colloc_grams")]
     for k in range(2, max_words + 1):
         pairs = blocks.select("block", "codes").groupBy("block").cogroup(named.select("block", "no", "id").groupBy("block")).applyInPandas(_paired, _PAIRS)
-        pairs = materialize(pairs, "colloc_pairs")
+        pairs = materialize(pairs, "colloc_pairs", FILE_BLOCKS)
         discard(blocks, named)
         blocks, entries = pairs, _entries(pairs, "lefts", "rights")
         if k < max_words:
